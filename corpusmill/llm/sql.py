@@ -13,4 +13,14 @@ SELECT p.page_id, p.host, p.path, hit.rule, coalesce(hit.v, 'allow') AS verdict
 FROM p LEFT JOIN hit ON p.page_id IS NOT DISTINCT FROM hit.page_id AND p.host = hit.host AND p.path = hit.path
 """
 
-ORACLE = {"op8_url_filter": OP8}
+OP10 = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, {_LOW.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+d AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.last_doc AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
+ORACLE = {"op8_url_filter": OP8, "op10_line_dedup": OP10}
