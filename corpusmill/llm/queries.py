@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, quality_rules, sql, token_store, url_filter
+from . import chat, html_text, line_dedup, pii, quality_rules, sql, token_store, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +67,21 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_token_store": op4_token_store,
+    "op6_pii": op6_pii,
     "op7_chat_format": op7_chat_format,
     "op8_url_filter": op8_url_filter,
+    "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE = sql.ORACLE
