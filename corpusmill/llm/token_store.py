@@ -151,10 +151,10 @@ class WordEncoder:
 
     TAIL, MOST = ".,!?%&$#*;:|", 1_500_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
+        self.lib, self.kind = Tokenizer.from_file(path), kind
         self.known: dict[str, bytes] = {}
 
     def parts(self, piece: str) -> tuple[str, ...]:
@@ -170,14 +170,14 @@ class WordEncoder:
         for i in range(0, len(units), 10_000):
             some = units[i : i + 10_000]
             e = self.lib.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(e.ids, "<u4").tobytes()
+            ids = np.asarray(e.ids, self.kind).tobytes()
             sizes = np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(some)) if e.ids else np.zeros(len(some), np.int64)
-            ends = (4 * np.cumsum(sizes)).tolist()
+            ends = (np.dtype(self.kind).itemsize * np.cumsum(sizes)).tolist()
             known.update({u: ids[x:y] for u, x, y in zip(some, [0, *ends], ends)})
         known.update({p: b"".join([known[u] for u in x]) for p, x in pieces.items() if len(x) > 1 or x[0] != p})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned integers of the encoder's kind."""
         if len(self.known) > self.MOST:
             self.known.clear()
         split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
@@ -185,19 +185,19 @@ class WordEncoder:
             self.learn(new)
         get = self.known.__getitem__
         return [
-            np.asarray(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join(map(get, s))
+            np.asarray(self.lib.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if s is None else b"".join(map(get, s))
             for t, s in zip(texts, split)
         ]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kind: str) -> WordEncoder:
     """One for each worker process, kept across tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, kind) not in _ENCODERS:
+        _ENCODERS[path, kind] = WordEncoder(path, kind)
+    return _ENCODERS[path, kind]
 
 
 def _store(path: str):
@@ -214,21 +214,26 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None, path:
     n = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Borders from the ids alone; at most n numbers come to the driver.
     borders = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("b")).first().b or [])) if n > 1 else []
-    end = b"" if end_id is None else struct.pack("<I", end_id)
+    from tokenizers import Tokenizer
+
+    # Ids travel in two bytes where they fit.
+    kind = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4"
+    wide = np.dtype(kind).itemsize
+    end = b"" if end_id is None else np.asarray([end_id], kind).tobytes()
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(tokenizer)
+        e = encoder(tokenizer, kind)
         for b in batches:
             texts = [t or "" for t in b["text"]]
             for lo, hi in _runs(texts, 2_000_000):
                 got = [x + end for x in e.encode(texts[lo:hi])]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi], "n": [len(x) // 4 for x in got], "ids": got})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi], "n": [len(x) // wide for x in got], "ids": got})
 
     where = F.lit(0)
     if borders:
         where = F.size(F.filter(F.array(*[F.lit(x) for x in borders]), lambda x: x <= F.col("doc_id")))
     coded = rows.mapInPandas(ids, "doc_id long, n long, ids binary").withColumn("range", where)
-    dealt = coded.repartition(n, "range").sortWithinPartitions("range", "doc_id", "ids")
+    dealt = coded.repartitionById(n, F.col("range").cast("int")).sortWithinPartitions("range", "doc_id", "ids")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
@@ -260,7 +265,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None, path:
                 elif total + k > SHARD_IDS:
                     flush()
                 held_ids.append(int(doc))
-                held.append(np.frombuffer(x, "<u4"))
+                held.append(np.frombuffer(x, kind))
                 total += int(k)
         flush()
         yield pd.DataFrame(done, columns=["file", "range", "part", "n_docs", "n_ids"])
