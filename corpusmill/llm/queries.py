@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, line_dedup, pii, quality_rules, sql, token_store, url_filter
+from . import chat, decontam, html_text, line_dedup, minhash, pieces, pii, quality_rules, sql, token_store, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("row.doc_id", *[f"s.{c}" for c in counts], "base_failed", "kept", "fired")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = decontam.match_items(docs, table(spark, sf_dir, "benchmark"))
+    return got.select(
+        "row.doc_id",
+        F.size("hits").cast("long").alias("n_items"),
+        F.col("hits.item_id").alias("item_ids"),
+        F.col("hits.distance").alias("distances"),
+        (F.size("hits") == 0).alias("kept"),
+    )
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    got = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_tokens", "ids_crc32", "round_trip")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +86,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -77,7 +100,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_token_store": op4_token_store,
+    "op5_near_dedup": op5_near_dedup,
     "op6_pii": op6_pii,
     "op7_chat_format": op7_chat_format,
     "op8_url_filter": op8_url_filter,
