@@ -117,13 +117,18 @@ def digits_to_int(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(to_ascii_digits(c), "[^0-9]", ""), F.lit("")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once for each row, wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit_list(c: Column, profile: Profile = BENGALI) -> Column:
     """The inventory units (category:unit) that a text contains, in inventory order."""
-    return F.filter(F.array(*[F.lit(u) for u in profile.labelled()]), lambda u: F.contains(c, F.substring_index(u, ":", -1)))
+    return let(c, lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lit(u.split(":", 1)[1])), F.lit(u)) for u in profile.labelled()])))
 
 
 def conjunct_list(c: Column, profile: Profile = BENGALI) -> Column:
-    return F.filter(F.array(*[F.lit(u) for u in profile.units.get("conjunct", [])]), lambda u: F.contains(c, u))
+    return let(c, lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lit(u)), F.lit(u)) for u in profile.units.get("conjunct", [])])))
 
 
 def char_kind(c: Column) -> Column:
