@@ -41,6 +41,6 @@ def early_stopping_stream(stream: DataFrame, patience: int = 10, min_delta: floa
                 counter += 1
                 stopped = stopped or counter >= patience
         state.update((best, counter, stopped))
-        yield pd.DataFrame([(key[0], best, counter, stopped)], columns=["run", "best_value", "counter", "stopped"])
+        yield pd.DataFrame([(str(key[0]), best, counter, stopped)], columns=["run", "best_value", "counter", "stopped"])
 
     return stream.groupBy("run").applyInPandasWithState(update, "run string, best_value double, counter int, stopped boolean", "best double, counter int, stopped boolean", "update", "NoTimeout")
