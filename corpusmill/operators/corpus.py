@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.profiles import BENGALI, Profile
+from .ranking import global_rank
 
 
 def analyze(df: DataFrame, profile: Profile = BENGALI) -> DataFrame:
@@ -61,62 +62,69 @@ def top(df: DataFrame, k: int, order: str = "ord") -> DataFrame:
     return df.orderBy(F.desc("quality_score"), F.asc(order)).limit(k)
 
 
-def coverage_rank(df: DataFrame, target: int = 10, order: str = "ord") -> DataFrame:
-    """``df`` with ``coverage_rank`` from 1: greedy multi-cover. Every row stays.
+def coverage_rank(df: DataFrame, target: int = 10, order: str = "ord", pool: int = 5000) -> DataFrame:
+    """``df`` with ``coverage_rank`` from 1: greedy multi-cover, then the rest by score. Every row stays.
 
-    Rows with equal coverage are interchangeable but for their order, so only distinct coverages with
-    their counts reach the driver (with u units there are at most u*target useful picks). A coverage's rows are taken in
-    order; the rest follow by score.
+    A row's gain, the units it has that are still under ``target``, only falls. So the ``pool`` rows of the highest gain go to the
+    driver, which picks among them while the best of them beats the least gain that the pool was cut at; then the next pool is
+    fetched. With u units there are at most u*target picks; no more than a pool is ever held.
     """
-    cover = F.array_join(F.array_sort("phoneme_coverage"), "\u0001")
-    w = W.partitionBy("_cover").orderBy(order)
-    rows = df.withColumn("_cover", cover).withColumn("_nth", F.row_number().over(w))
-    # at most `target` rows of one coverage can be useful
-    kinds = rows.where(F.col("_nth") <= target).groupBy("_cover").agg(F.sort_array(F.collect_list(order)).alias("q")).collect()
-    pools = [(set(filter(None, r._cover.split("\u0001"))), list(r.q)) for r in kinds]
+    spark = df.sparkSession
+    base = df.select(F.col(order).alias("o"), "phoneme_coverage").persist()
+    kind = base.schema["o"].dataType.simpleString()
     have: dict[str, int] = {}
-    picks: list[tuple[str, int, int]] = []
-    taken = [0] * len(pools)
-    names = [r._cover for r in kinds]
+    picks: list = []
     while True:
-        best, gain = -1, 0
-        for i, (units, q) in enumerate(pools):
-            if taken[i] < len(q):
-                g = sum(have.get(u, 0) < target for u in units)
-                if g > gain or g == gain and g and q[taken[i]] < pools[best][1][taken[best]]:
-                    best, gain = i, g
-        if not gain:
+        closed = F.array(*[F.lit(u) for u, n in have.items() if n >= target]).cast("array<string>")
+        rows = base.withColumn("gain", F.size(F.array_except("phoneme_coverage", closed))).where("gain > 0")
+        if picks:
+            rows = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in picks], f"o {kind}")), "o", "left_anti")
+        held = [(r.o, set(r.phoneme_coverage), r.gain) for r in rows.orderBy(F.desc("gain"), "o").limit(pool).collect()]
+        if not held:
             break
-        taken[best] += 1
-        picks.append((names[best], taken[best], len(picks) + 1))
-        for u in pools[best][0]:
-            have[u] = have.get(u, 0) + 1
-    chosen = df.sparkSession.createDataFrame(picks, "_cover string, _nth int, _pick int") if picks else df.sparkSession.createDataFrame([], "_cover string, _nth int, _pick int")
-    rows = rows.join(F.broadcast(chosen), ["_cover", "_nth"], "left")  # units * target rows at most
-    last = W.orderBy(F.asc_nulls_last("_pick"), F.desc("quality_score"), F.asc(order))
-    return rows.withColumn("coverage_rank", F.row_number().over(last)).drop("_cover", "_nth", "_pick")
+        cut = held[-1][2] if len(held) == pool else 0
+        fresh = True
+        while held:
+            gains = [sum(have.get(u, 0) < target for u in units) for _, units, _ in held]
+            best = max(range(len(held)), key=lambda i: (gains[i], -i))
+            # of equal gains the first in order
+            ties = [i for i, g in enumerate(gains) if g == gains[best]]
+            best = min(ties, key=lambda i: held[i][0])
+            if not gains[best] or not fresh and gains[best] <= cut:
+                break
+            fresh = False
+            o, units, _ = held.pop(best)
+            picks.append(o)
+            for u in units:
+                have[u] = have.get(u, 0) + 1
+    base.unpersist()
+    chosen = spark.createDataFrame([(p, i) for i, p in enumerate(picks, 1)], f"_o {kind}, _pick int")
+    rows = df.join(F.broadcast(chosen), F.col(order) == F.col("_o"), "left").drop("_o")  # units * target rows at most
+    rest = global_rank(rows.where("_pick is null"), [F.desc("quality_score"), F.asc(order)], "_r")
+    first = rows.where("_pick is not null").withColumn("coverage_rank", F.col("_pick").cast("long"))
+    return first.unionByName(rest.withColumn("coverage_rank", F.col("_r") + len(picks)).drop("_r")).drop("_pick")
 
 
 def balanced_rank(df: DataFrame, group: Column, shares: dict[str, float], name: str, order: str = "ord") -> DataFrame:
     """``df`` with a rank column: each group's best up to its share of all rows, group by group, then the rest by score.
 
-    Global places come from group counts and partition-local ranks, not from one sort of everything.
+    Groups are three or so, so their places come from ``global_rank`` and their counts, not from a window over each.
     """
     rows = df.withColumn("_g", group)
     counts = {r._g: r.n for r in rows.groupBy("_g").agg(F.count("*").alias("n")).collect()}  # one row for each group
     total = sum(counts.values())
     quota = {g: min(int(total * s), counts.get(g, 0)) for g, s in shares.items()}
-    w = W.partitionBy("_g").orderBy(F.desc("quality_score"), F.asc(order))
-    rows = rows.withColumn("_r", F.row_number().over(w))
-    start, at = {}, 0
-    for g in shares:
-        start[g], at = at, at + quota[g]
+    start, ahead, place, at, seen = {}, {}, {}, 0, 0
+    for i, g in enumerate(shares):
+        start[g], ahead[g], place[g] = at, seen, i
+        at += quota[g]
+        seen += counts.get(g, 0)
     case = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("_g")]
-    position = {g: i for i, g in enumerate(shares)}
-    rest = W.partitionBy("_in").orderBy(F.desc("quality_score"), F.asc("_p"), F.asc("_r"))
-    rows = rows.withColumn("_in", F.col("_r") <= case(quota)).withColumn("_p", case(position))
-    out = rows.withColumn(name, F.when(F.col("_in"), case(start) + F.col("_r")).otherwise(F.lit(at) + F.row_number().over(rest)).cast("int"))
-    return out.drop("_g", "_r", "_in", "_p")
+    rows = global_rank(rows.withColumn("_p", case(place)), [F.asc("_p"), F.desc("quality_score"), F.asc(order)], "_r").withColumn("_r", F.col("_r") - case(ahead))
+    inside = F.col("_r") <= case(quota)
+    first = rows.where(inside).withColumn(name, case(start) + F.col("_r"))
+    rest = global_rank(rows.where(~inside), [F.desc("quality_score"), F.asc("_p"), F.asc("_r")], "_k").withColumn(name, F.lit(at) + F.col("_k"))
+    return first.unionByName(rest.drop("_k")).drop("_g", "_p", "_r")
 
 
 def balance_types(df: DataFrame, order: str = "ord") -> DataFrame:

@@ -48,8 +48,9 @@ def test_coverage_rank_is_the_greedy_order(spark, target):
     texts = ["".join(rnd.choice("কখগঘঙচছজআইউ ") for _ in range(rnd.randint(1, 9))) for _ in range(60)]
     df = sentences(spark, texts)
     rows = [(r.ord, r.phoneme_coverage, r.quality_score) for r in df.collect()]
-    got = [r.ord for r in corpus.coverage_rank(df, target).orderBy("coverage_rank").collect()]
-    assert got == greedy(sorted(rows), target)
+    for pool in (5000, 7):
+        got = [r.ord for r in corpus.coverage_rank(df, target, pool=pool).orderBy("coverage_rank").collect()]
+        assert got == greedy(sorted(rows), target)
 
 
 def test_balances_are_permutations(spark):
