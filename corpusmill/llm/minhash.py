@@ -7,7 +7,8 @@ collection with a chance of 1e-5 at most.
 
 1. Documents with equal sets are one class; its smallest doc_id stands for it.
 2. Classes that share a table key become candidates where at least half of their MinHash values agree (a link at the
-   threshold fails that by a chance below 1e-6). A bucket gives one tree of candidates, not its pairs.
+   threshold fails that by a chance below 1e-6). A bucket gives one tree of candidates, not its pairs; tables that come
+   later leave out what the components of the first ones join already.
 3. Components of candidates are the groups within which sets are compared: each class's set is made from its text again and
    shipped to its group once; overlaps come from products of 0/1 matrices, and a group gives a forest of
    confirmed links.
@@ -50,7 +51,7 @@ class _Words(dict):
     """Hashes of words, remembered."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(w)
         if len(w) <= 64:
@@ -93,16 +94,20 @@ def minhashes(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def table_keys(sig: np.ndarray, m: int) -> np.ndarray:
-    """The m*m table keys of each row of MinHash values."""
+    """The m*m table keys of each row of MinHash values; the table's number is the last two bytes."""
     half = sig.reshape(len(sig), 2, m, K).astype(np.uint64)
     each = mix((half[..., 0] << np.uint64(32) | half[..., 1]) + _M3)
     tables = np.arange(m * m, dtype=np.uint64).reshape(m, m)
-    return mix(each[:, 0, :, None] * _M3 + each[:, 1, None, :] + tables * _M2).reshape(len(sig), m * m).view(np.int64)
+    keys = mix(each[:, 0, :, None] * _M3 + each[:, 1, None, :] + tables * _M2)
+    return (keys & ~np.uint64(65535) | tables).reshape(len(sig), m * m).view(np.int64)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links (a[i], b[i]) those that join two trees."""
+def _forest(n: int, a: np.ndarray, b: np.ndarray, trees: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Of the links (a[i], b[i]) those that join two trees; ``trees``: equal numbers are one tree to begin with."""
     up = list(range(n))
+    if trees is not None:
+        first: dict[int, int] = {}
+        up = [first.setdefault(t, i) for i, t in enumerate(trees.tolist())]
 
     def top(i: int) -> int:
         while up[i] != i:
@@ -149,7 +154,7 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A tree of candidates for each bucket: pairs of which half of the MinHash values agree, as far as they join trees."""
+    """A tree of candidates for each bucket: pairs of which half of the MinHash values agree, as far as they join trees (``c``)."""
     out: set[tuple[int, int]] = set()
     for g in _groups(batches, ["key", "_i", "_j"]):
         if len(g) < 2:
@@ -157,15 +162,16 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reps = g["rep"].to_numpy()
         sig = np.frombuffer(b"".join(g["sig"]), "<u4").reshape(len(g), -1)
         need = sig.shape[1] / 2
+        trees = g["c"].to_numpy()
         if len(g) == 2:
-            links = [(0, 1)] if (sig[0] == sig[1]).sum() >= need else []
+            links = [(0, 1)] if trees[0] != trees[1] and (sig[0] == sig[1]).sum() >= need else []
         else:
             a, b = [], []
             for i in range(len(g) - 1):
                 j = np.flatnonzero((sig[i + 1 :] == sig[i]).sum(1) >= need) + i + 1
                 a.append(np.full(len(j), i))
                 b.append(j)
-            links = _forest(len(g), np.concatenate(a), np.concatenate(b))
+            links = _forest(len(g), np.concatenate(a), np.concatenate(b), trees)
         out.update((min(x, y), max(x, y)) for i, j in links if (x := int(reps[i])) != (y := int(reps[j])))
         if len(out) > 200_000:
             yield pd.DataFrame(sorted(out), columns=["a", "b"])
@@ -173,6 +179,13 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype=np.int64)
 
 
+def _close(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b): candidates among the members (key, count, rep, c) of each bucket."""
+    rows = dealt(members.join(sigs.hint("merge"), "rep"), "key", "count", F.col("rep")).select("key", "_i", "_j", "rep", "c", "sig")
+    rows = rows.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "rep")
+    return materialize(rows.mapInPandas(_candidates, "a long, b long").distinct())
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of 0/1 matrices over the hashes that two sets share."""
     n = len(sets)
@@ -239,17 +252,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                     k = table_keys(np.frombuffer(b"".join(part["sig"]), "<u4").reshape(len(part), -1), m)
                     yield pd.DataFrame({"key": k.ravel(), "rep": np.repeat(part["rep"].to_numpy(), m * m)})
 
+    # These tables grow with the input, so their joins are shuffled at any size.
     bucketed = classes.select("rep", "sig").mapInPandas(keys, "key long, rep long")
     several = materialize(bucketed.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"))
-    members = materialize(bucketed.join(several, "key"))
-    members = members.join(classes.select("rep", "sig"), "rep")
-    close = dealt(members, "key", "count", F.col("rep")).select("key", "_i", "_j", "rep", "sig")
-    close = close.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "rep")
-    groups = components(materialize(close.mapInPandas(_candidates, "a long, b long").distinct()))
+    members = materialize(bucketed.join(several.hint("merge"), "key"))
+    sigs = classes.select("rep", "sig")
+    # The tables (i, i) first; of the others only buckets that these leave in several components.
+    early = F.col("key").bitwiseAND(65535) % (m + 1) == 0
+    first = _close(members.where(early).withColumn("c", F.col("rep")), sigs)
+    labels = components(first).withColumnRenamed("v", "rep")
+    later = materialize(members.where(~early).join(labels.hint("merge"), "rep", "left").withColumn("c", F.coalesce("c", "rep")))
+    mixed = later.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    second = _close(later.join(mixed.hint("merge"), "key", "left_semi"), sigs)
+    groups = components(first.unionByName(second))
     sizes = groups.groupBy(F.col("c").alias("gid")).agg(F.count("*").alias("count"))
     grouped = groups.select(F.col("v").alias("rep"), F.col("c").alias("gid")).join(sizes, "gid")
     # the texts of the classes that have candidates; of rows with an equal doc_id, all
-    texts = rows.where("doc_id is not null").withColumnRenamed("doc_id", "rep").join(materialize(grouped), "rep")
+    texts = rows.where("doc_id is not null").withColumnRenamed("doc_id", "rep").join(materialize(grouped).hint("merge"), "rep")
     texts = dealt(texts, "gid", "count", F.col("rep")).select("gid", "_i", "_j", "rep", "text")
     texts = texts.repartition("gid", "_i", "_j").sortWithinPartitions("gid", "_i", "_j", "rep")
     linked = materialize(texts.mapInPandas(_confirm(shingle, percent), "a long, b long"))
