@@ -42,6 +42,19 @@ def ascii_lower_sql(expr: str) -> str:
     return f"translate({expr}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: Most bytes of texts in one Arrow batch, on their way to and in a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by size, so long texts don't meet by the thousand in one worker's memory. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def own(df: DataFrame, *keep: str) -> DataFrame:
     """Only the columns an operator works on, so extra columns with clashing names can do no harm."""
+    bounded_batches(df.sparkSession)
     return df.select(*[df[c] for c in keep])

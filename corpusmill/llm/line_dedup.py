@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, shared_dir
+from .common import SPACE_CHARS, ascii_lower, bounded_batches, shared_dir
 
 SHARD_KEYS = 500_000
 _NULL_DOC = -(2**63)
@@ -266,6 +266,7 @@ class LineIndex:
 
         Only texts that lose a line pass through Python.
         """
+        bounded_batches(self.spark)
         lost = self.table("refs").join(self.frequent(), "key").where(F.col("doc_id") != F.col("last_doc"))
         lost = lost.groupBy("doc_id").agg(F.collect_list("key").alias("lost"))
         least = self.min_chars

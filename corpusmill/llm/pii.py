@@ -278,7 +278,7 @@ class Field:
     def numbers(self, words: list[str]) -> list[int]:
         known = self.words
         if new := set(words).difference(known):
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
                 new = set(words)
             if len(self.ids) > 200_000:

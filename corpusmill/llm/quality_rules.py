@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: White space to Python's str.split that isn't in [\x20\x09-\x0D].
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -211,6 +213,7 @@ def cover(x: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray, precision:
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, precision: float = 0.95) -> RuleList:
     """A list for quality 0 from (doc_id, text) and (doc_id, quality). At most ``fit_rows`` label rows are used."""
+    bounded_batches(docs.sparkSession)
     picked = labels.select(labels["doc_id"].alias("doc_id"), labels["quality"].alias("quality")).where("quality in (0, 1) and doc_id is not null")
     picked = picked.orderBy(F.xxhash64("doc_id", "quality"), "doc_id", "quality").limit(fit_rows)  # bounded, so it can be broadcast
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(picked), "doc_id")
@@ -225,6 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, precision:
 
 def judge(docs: DataFrame, rules: RuleList) -> DataFrame:
     """``docs`` in a struct ``row`` with the statistics ``s``, base_failed, the rule that fired (0: none) and kept."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("s", text_stats("row.text"))
     rows = rows.withColumn("base_failed", base_failed("s")).withColumn("fired", rules.column(features("s")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("fired") == 0))

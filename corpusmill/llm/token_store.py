@@ -149,7 +149,7 @@ class WordEncoder:
     Texts with U+001C to U+001F, which only Python counts as space, are encoded whole.
     """
 
-    TAIL, MOST = ".,!?%&$#*;:|", 1_500_000
+    TAIL, MOST = ".,!?%&$#*;:|", 700_000
 
     def __init__(self, path: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
