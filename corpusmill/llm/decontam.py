@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own
+from .common import bounded_batches, own
 
 BLOCK_CHARS = 4_000_000
-RATE = 0.05
+RATE = 0.07
 
 
 def normalize(text: str | None) -> str:
@@ -141,6 +141,7 @@ def merged(runs: list[list[int]]) -> list[tuple[int, int]]:
 
 def match_items(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """``docs`` in a struct ``row`` with ``hits``: array of (item_id, distance) by item_id."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.array().cast("array<struct<item_id:bigint,distance:bigint>>").alias("hits"))
     block, size = [], 0
     queries = own(items, "item_id", "text").where("text is not null and item_id is not null").orderBy("item_id", "text").toLocalIterator()
