@@ -51,7 +51,7 @@ class _Words(dict):
     """Hashes of words, remembered."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(w)
         if len(w) <= 64:
