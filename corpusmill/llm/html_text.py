@@ -8,8 +8,9 @@ tags, LC and LT those that are links. The composite density of a node is::
 that is characters per tag, less where they are links. A node's density sum adds the
 densities of its children. The node with the largest sum is the target, and the threshold is the lowest density on the
 path from it to the body. The text is that of the outermost article around the target; where there is
-none, of the target and, below its parent, of the largest-sum node in every node at or above the
-threshold.
+none, of the target and of the largest-sum node in every node below the body at or above the threshold;
+outside the target's parent that node must also reach the density of the target's sparsest child, so that a stray label
+in a page of many links, where the threshold is low, is no text.
 
 Elements that are never article text (by tag, role, or a word of their class or id: menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) count for
@@ -244,11 +245,13 @@ class Page:
         inside = [False] * n
         inside[article or target] = True
         if not article and target > body:
-            under = [False] * n
-            under[self.parent[target]] = True
-            for i in range(1, n):
-                under[i] = under[i] or under[self.parent[i]]
-                if under[i] and i != self.parent[target] and self.chars[i] > 0 and dens[i] >= threshold:
+            sparsest = min((dens[i] for i in range(target + 1, n) if self.parent[i] == target and dens[i] > 0), default=0.0)
+            under, near = [False] * n, [False] * n
+            under[body] = near[self.parent[target]] = True
+            for i in range(body + 1, n):
+                under[i] = under[self.parent[i]]
+                near[i] = near[i] or near[self.parent[i]]
+                if under[i] and self.chars[i] > 0 and dens[i] >= threshold and (near[i] or max(dens[i], sums[most[i]]) >= sparsest):
                     inside[most[i]] = True
         for i in range(1, n):
             inside[i] = inside[i] or inside[self.parent[i]]

@@ -42,6 +42,16 @@ def test_density_finds_text_without_article_tags():
     assert main_text(page(body)) == "\n".join(long)
 
 
+def test_text_split_over_wrappers_without_article_tags():
+    para = lambda s, i: (f"Part {s} paragraph {i} of the main text " + "word " * 60)[:200].strip()
+    parts = [[para(s, i) for i in range(10)] for s in range(3)]
+    section = lambda ps: "<section><div>" + "".join(f"<p>{p}</p>" for p in ps) + "</div></section>"
+    links = "<div>" + "".join(f"<a href={i}>link {i}</a> " for i in range(30)) + "</div>"
+    want = "\n".join(p for ps in parts for p in ps)
+    assert main_text(page(f"<main>{''.join(map(section, parts))}</main>")) == want
+    assert main_text(page(f"<div>{section(parts[0])}</div>{links}<div>{section(parts[1])}</div><div>{section(parts[2])}</div>")) == want
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<p") == main_text("   ") == main_text("<script>x") == ""
     assert main_text("just text &lt;b&gt; 1 < 2 &am") == "just text <b> 1 < 2 &am"
