@@ -12,10 +12,11 @@ none, of the target and of the largest-sum node in every node below the body at
 outside the target's parent that node must also reach the density of the target's sparsest child, so that a stray label
 in a page of many links, where the threshold is low, is no text.
 
-Elements that are never article text (by tag, role, or a word of their class or id: menus, page headers,
+Elements that are never article text (by tag, role, or a whole token of their class or id: menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) count for
-nothing and are left out. The text of a block has its character references decoded and each run of white
-space turned into one space; blocks follow page order, joined by newlines. br is white space.
+nothing and are left out. Of these a form, and what only attributes tell, stays where it holds most of the
+page's text outside links and no article elsewhere on the page has text; reader comments stay where there is
+no other text. The text of a block has its character references decoded and each run of white space turned into one space; blocks follow page order, joined by newlines. br is white space.
 
 Cases: null or empty html, or a page without such text, gives "". Tags that are never closed
 close where the next block or their parent does; what a page cut off inside a tag has of it is markup. Rows are
@@ -46,41 +47,61 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager share sharing social related recommended newsletter subscribe subscription popup modal overlay login signup search comment comments commentlist respond replies reply disqus".split()
 )
+#: Words that leave the meaning of the word beside them in a token: left-sidebar, cookie-box, related-posts.
+BESIDE = frozenset(
+    "left right top bottom upper lower main site page global primary secondary inner outer wrapper wrap container area box block section list item items group panel widget slot unit content body text links link icons buttons button bar row col column posts articles stories entries products form dialog thread".split()
+)
 COMMENT_WORDS = frozenset("comment comments commentlist respond replies reply disqus".split())
 #: A start tag of these ends an open one of those, within the given borders.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>]|$)""", re.I)
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*)))?""")
+_HEADER = frozenset(["header"])
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _surrounds(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is what surrounds articles."""
+def _names(token: str, words: frozenset[str]) -> bool:
+    """Whether a token of a class or id is one of the words, or made of them and of words that may stand beside them."""
+    parts = [x for x in _SPLIT.split(token) if x]
+    return not words.isdisjoint(parts) and all(x in WORDS or x in BESIDE or x in words or x.isdigit() for x in parts)
+
+
+def _surrounds(tag: str, attrs: str, in_article: bool) -> str:
+    """Why an element is what surrounds articles: "" (it isn't), "tag", "marked", or "comment" for reader comments."""
     if tag in NEVER or (tag == "header" and not in_article):
-        return True
+        return "marked" if tag == "form" else "tag"
     if tag in ("html", "body", "main") or not attrs:
-        return False
+        return ""
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
+            return "marked"
         if name in ("class", "id"):
-            words = set(_SPLIT.split(value))
-            if words & (COMMENT_WORDS if tag == "article" else WORDS) or "header" in words and not in_article:
-                return True
-    return False
+            for token in value.split():
+                if _names(token, COMMENT_WORDS):
+                    return "comment"
+                if tag != "article" and _names(token, WORDS) or not in_article and _names(token, _HEADER):
+                    return "marked"
+    return ""
 
 
 class Page:
     """The tree: per node its tag, parent and counts; and the pieces of text in page order."""
 
     def __init__(self, html: str):
+        self._count(html, frozenset())
+        if stay := self._stay():
+            self._count(html, stay)
+
+    def _count(self, html: str, stay: frozenset[int]) -> None:
         self.tag, self.parent, self.chars, self.link_chars, self.tags, self.link_tags = ["#root"], [-1], [0], [0], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []  # node, block, text
-        self._read(html)
+        #: What attributes (or form) leave out: node, why, node of the tree around it, the one of these around it, characters outside links
+        self.cuts: list[list] = []
+        self._read(html, stay)
         for i in range(len(self.tag) - 1, 0, -1):
             p = self.parent[i]
             self.chars[p] += self.chars[i]
@@ -88,18 +109,37 @@ class Page:
             self.tags[p] += self.tags[i] + 1
             self.link_tags[p] += self.link_tags[i] + (self.tag[i] == "a")
 
-    def _read(self, html: str) -> None:
+    def _stay(self) -> frozenset[int]:
+        """The nodes that are left out though they hold most of the page's text."""
+        total = self.chars[0] - self.link_chars[0]
+        total += sum(size for _, _, _, outer, size in self.cuts if outer < 0)
+        most = [c for c in self.cuts if c[4] and (c[4] >= total if c[1] == "comment" else 2 * c[4] > total)]
+        if not most:
+            return frozenset()
+        article = [0] * len(self.tag)  # the outermost article around each node
+        for i in range(1, len(self.tag)):
+            article[i] = article[self.parent[i]] or (i if self.tag[i] == "article" else 0)
+        told = {i for i, a in enumerate(article) if i and i == a and self.chars[i] > self.link_chars[i]}
+        return frozenset(node for node, _, around, _, _ in most if not told - {article[around]})
+
+    def _read(self, html: str, stay: frozenset[int]) -> None:
         at, n, block = 0, len(html), 0
         stack, quotes = [0], True
-        out = articles = links = 0  # open elements: left out, articles, links
-        outer: list[tuple[bool, bool, bool]] = [(False, False, False)]
+        out = hard = articles = links = 0  # open elements: left out, of these by tag, articles, links
+        outer: list[tuple[bool, bool, bool, bool, bool]] = [(False, False, False, False, False)]
+        cuts: list[int] = []  # the open ones of self.cuts
 
         def close(depth: int) -> None:
-            nonlocal out, articles, links
+            nonlocal out, hard, articles, links
             while len(stack) > depth:
                 stack.pop()
-                o, a, k = outer.pop()
+                o, h, c, a, k = outer.pop()
                 out -= o
+                hard -= h
+                if c and len(cuts) > 1:
+                    self.cuts[cuts[-2]][4] += self.cuts[cuts[-1]][4]
+                if c:
+                    cuts.pop()
                 articles -= a
                 links -= k
 
@@ -112,6 +152,8 @@ class Page:
                 if links:
                     self.link_chars[node] += size
                 self.pieces.append((node, block, s))
+            elif cuts and not hard and not links:
+                self.cuts[cuts[-1]][4] += len(_SPACE.sub(" ", unescape(s) if "&" in s else s).strip())
 
         while at < n:
             lt = html.find("<", at)
@@ -180,7 +222,8 @@ class Page:
                         break
             if tag == "body":
                 close(1)  # a head that was never closed ends here
-            left_out = _surrounds(tag, attrs, articles > 0)
+            why = _surrounds(tag, attrs, articles > 0)
+            left_out = why != "" and (why == "tag" or len(self.tag) not in stay)
             if tag in RAW:
                 # its text runs to its end tag and is markup or left out
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
@@ -189,7 +232,12 @@ class Page:
                 if not out and not left_out and tag != "wbr":
                     self.tags[stack[-1]] += 1
                 continue
-            is_article, is_link = tag == "article", tag == "a"
+            is_article, is_link, is_hard = tag == "article", tag == "a", why == "tag"
+            is_cut = left_out and not is_hard and not hard
+            if is_cut:
+                around = self.cuts[cuts[-1]][2] if cuts else stack[-1]
+                self.cuts.append([len(self.tag), why, around, cuts[-1] if cuts else -1, 0])
+                cuts.append(len(self.cuts) - 1)
             if out or left_out:
                 self.tag.append(tag)
                 self.parent.append(0)  # not in the tree; takes its tag back below
@@ -205,10 +253,12 @@ class Page:
                 self.tags.append(0)
                 self.link_tags.append(0)
             stack.append(len(self.tag) - 1)
-            outer.append((left_out, is_article, is_link))
+            outer.append((left_out, is_hard, is_cut, is_article, is_link))
             out += left_out
+            hard += is_hard
             articles += is_article
             links += is_link
+        close(1)
 
     def densities(self) -> list[float]:
         body = next((i for i, t in enumerate(self.tag) if t == "body" and self.chars[i]), 0)

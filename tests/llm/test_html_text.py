@@ -52,6 +52,31 @@ def test_text_split_over_wrappers_without_article_tags():
     assert main_text(page(f"<div>{section(parts[0])}</div>{links}<div>{section(parts[1])}</div><div>{section(parts[2])}</div>")) == want
 
 
+def test_marks_are_whole_tokens_of_whole_attributes():
+    text = "\n".join(PARAS)
+    ps = "".join(f"<p>{p}</p>" for p in PARAS)
+    for x in ('class="content no-sidebar"', 'id="related-work"', 'title="the hidden truth"', "data-x='class=ad id=nav'", 'alt="a role=navigation of"', "class=has-menu", 'title="a hidden'):
+        assert main_text(page(f"<p>{PARAS[0]} Before it.</p><div {x}>{ps}</div><p>{PARAS[0]} Behind it.</p>")).split("\n")[1:-1] == PARAS, x
+    for x in ('class="left-sidebar"', 'class="x related-posts"', "id=comment-12", "id = 'cookie_notice'", "hidden", "class=ad/", 'role="navigation"'):
+        assert main_text(page(f"<p>{PARAS[0]}</p><div {x}><p>Few words</p></div>")) == PARAS[0], x
+    assert text in main_text(page(f"<article><h1>A</h1><section id=related-work>{ps}</section></article>"))
+
+
+def test_what_holds_most_of_the_text_stays():
+    text = "\n".join(PARAS)
+    ps = "".join(f"<p>{p}</p>" for p in PARAS)
+    for x in ("class=sidebar", 'id="related"', "role=dialog", "hidden", "class=comments"):
+        assert main_text(page(f"<div {x}>{ps}</div>")) == text, x
+        assert main_text(page(f"<div {x}><div class=nav><article>{ps}</article></div></div>")) == text, x
+    assert main_text(page(f"<form id=page>{AROUND['menu']}<div>{ps}</div></form>")) == text
+    assert main_text(page(f"<div class=social>{ps}</div><p>Small print</p>")).startswith(text)
+    # an article tells what is one, and comments beside other text are comments
+    assert main_text(page(f"<article><p>Short.</p></article><div class=cookie-notice>{ps}</div>")) == "Short."
+    assert main_text(page(f"<p>Short.</p><div class=comments>{ps}</div>")) == "Short."
+    links = "".join(f"<a href=x>{p}</a>" for p in PARAS)
+    assert main_text(page(f"<p>Short.</p><div class=menu>{links}</div>")) == "Short."
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<p") == main_text("   ") == main_text("<script>x") == ""
     assert main_text("just text &lt;b&gt; 1 < 2 &am") == "just text <b> 1 < 2 &am"
