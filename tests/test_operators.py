@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions.profiles import BENGALI
+from corpusmill.functions.profiles import BENGALI, LATIN
 from corpusmill.operators import alignment, audio, corpus, stats, training
+from corpusmill.plans.queries import QUERIES
 
 BN = "আমি যাই।|তুমি কি যাও?|বাহ!|মন্ত্র পড়ি।|আমি  যাই।|ক|" + "ক্ত " * 30
 
@@ -85,6 +86,16 @@ def test_statistics_of_nothing(spark):
     assert stats.report(sentences(spark))["report"].count() > 10
 
 
+def test_missing_units_looks_at_every_line(spark, tmp_path):
+    texts = ["Ab cd.\nThe quick brown fox jumps over the lazy dog, which is longer than six letters.", "nation", None, "é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(r.unit for r in QUERIES["missing_units"](spark, str(tmp_path)).collect())
+    assert got == sorted(u for u in LATIN.labelled() if not any(u.split(":")[1] in (t or "") for t in texts)) and got
+    docs = [t or "" for (t,) in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got = sorted(r.unit for r in QUERIES["missing_units"](spark, "/root/testdata/sf0.001").collect())
+    assert got == sorted(u for u in LATIN.labelled() if not any(u.split(":")[1] in t for t in docs))
+
+
 def tone(n, rate, amp, freq=100):
     return [amp * math.sin(2 * math.pi * freq * i / rate) for i in range(n)]
 
