@@ -149,6 +149,14 @@ def test_collapse_needs_twenty_points(spark):
         assert last.collapsed == (n == 20)
 
 
+def test_mean_values_are_of_all_events(spark):
+    d = "/root/testdata/sf0.001"
+    values = [v for (v,) in spark.read.parquet(f"{d}/events.parquet").select("value").collect()]
+    assert [r["mean"] for r in QUERIES["mean_values"](spark, d).collect()] == [pytest.approx(math.fsum(values) / len(values), abs=1e-6)]
+    df = spark.createDataFrame([(1.0,), (None,), (4.0,)], "v double")
+    assert [x.agg(training.mean_or_zero("v")).first()[0] for x in (df, df.limit(0))] == [2.5, 0.0]
+
+
 def test_learning_rate_rises_again(spark):
     got = [r[0] for r in spark.createDataFrame([(s,) for s in (0, 5, 10, 60, 110, 160)], "s int").select(training.lr_factor(F.col("s"), 10, 110)).collect()]
     assert got[:3] == [0.0, 0.5, 1.0] and got[3] == pytest.approx(0.5) and got[4] == pytest.approx(0.0) and got[5] == pytest.approx(0.5)
