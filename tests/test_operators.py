@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,15 @@ def test_missing_units_looks_at_every_line(spark, tmp_path):
     assert got == sorted(u for u in LATIN.labelled() if not any(u.split(":")[1] in t for t in docs))
 
 
+def test_recording_metadata_holds_every_event(spark):
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id", "value").collect()
+    rows = [(u, e, math.floor(v) if i % 5 else None) for u, e, i, v in rows]
+    want = Counter(u for u, _, _ in rows if u % 2 == 0) + Counter(u for u, _, _ in {r for r in rows if r[0] % 2})
+    assert {r.user_id: r.n for r in QUERIES["recording_metadata"](spark, d).collect()} == want
+    assert set(want) == {u for u, _, _ in rows}
+
+
 def tone(n, rate, amp, freq=100):
     return [amp * math.sin(2 * math.pi * freq * i / rate) for i in range(n)]
 
