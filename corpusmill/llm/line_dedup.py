@@ -8,6 +8,7 @@ file system with one sub-folder per version:
 ``counts``    (key, n_docs, last_doc): per key its documents and the largest doc_id
 ``filters``   (shard, filter): a cuckoo filter of the keys of a shard, which follows from the key
 
+A first ``insert`` counts exactly and writes the filters; ``dedup_lines`` is such a first build, so nothing reads them there. A later
 ``insert`` asks the filters first: keys that none of them knows are certainly new and take their counts
 from the batch alone; only the rest meet the old tables. ``delete`` takes a document's references away,
 and a key's fingerprint with its last one. ``drop_lines`` drops the lines of keys held by ``min_docs`` documents
