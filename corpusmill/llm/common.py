@@ -15,22 +15,60 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder path under spark.checkpoint.dir, which executors and driver share.
+    """A new folder path under spark.checkpoint.dir, which executors and driver share; it is removed when the driver ends.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set.
+    Where the setting is absent and the master is local (tests on one machine) a temporary folder is set; on a cluster
+    each machine would write its own, so there the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/corpusmill/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/corpusmill/{uuid.uuid4().hex}"
+    store, where = _store(spark, path)
+    store.deleteOnExit(where)
+    return path
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    store, where = _store(spark, path)
+    store.delete(where, True)
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut and survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, shared_dir(df.sparkSession))
+
+
+class Scratch:
+    """Tables that an operator needs only while it works: ``keep`` is ``materialize`` until the block ends, which removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, shared_dir(spark), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return write_table(df, f"{self.path}/{self.n}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.path)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -1,7 +1,10 @@
 import random
 import re
 
-from corpusmill.llm import minhash
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.llm import common, minhash
 from corpusmill.llm.components import components
 
 
@@ -52,21 +55,40 @@ def test_matches_brute_force(spark):
         assert run(spark, rows, k, percent) == brute(rows, k, percent)
 
 
-def test_blocks_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_blocks_lose_no_link(spark, monkeypatch, rounds):
     rows = sample(150, 2)
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
     assert run(spark, rows, 3, 85) == brute(rows, 3, 85)
 
 
+def test_blocks_of_one_component_never_meet(spark):
+    rows = [("g", 1, i, 5) for i in range(40)] + [("g", c, 100 + c, 5) for c in range(2, 8)] + [("h", 9, 200 + i, 5) for i in range(30)] + [("k", 3, 300, 1), ("k", 4, 301, 1)]
+    df = spark.createDataFrame(rows, "gid string, c long, cid long, w long")
+    got = [tuple(r) for r in minhash.dealt(df, "gid", F.col("w"), 20).select("gid", "_i", "_j", "c", "cid").collect()]
+    met, blocks = set(), {}
+    for g, i, j, c, v in got:
+        blocks.setdefault((g, i, j), []).append((c, v))
+    for (g, i, j), members in blocks.items():
+        assert len(members) < 30
+        assert len({c for c, _ in members}) > 1 or len(members) < 8
+        met |= {(g, x, y) for c, x in members for d, y in members if c != d}
+    assert met == {(g, x, y) for g, c, x, _ in rows for h, d, y, _ in rows if g == h and c != d}
+    assert not any(g == "h" for g, _, _ in blocks)
+
+
 def test_empty(spark):
     assert run(spark, [], 3, 85) == []
     assert run(spark, [(2, "a b c d"), (1, "a b c d")], 3, 85) == [(1, 2, 1, True), (2, 2, 1, False)]
 
 
-def test_components_of_paths_and_stars(spark):
+def test_components_of_paths_and_stars(spark, tmp_path):
+    keep = lambda df, n=iter(range(99)): common.write_table(df, f"{tmp_path}/{next(n)}")
     rnd = random.Random(3)
     chain = list(range(0, 300, 3))
     rnd.shuffle(chain)
     links = list(zip(chain, chain[1:])) + [(1, x) for x in range(1, 200, 3)] + [(2, 5), (5, 2), (8, 8)]
-    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), keep).collect()))
     assert all(got[x] == 0 for x in chain) and all(got[x] == 1 for x in range(1, 200, 3)) and got[5] == got[2] == 2
