@@ -5,12 +5,11 @@ tags, LC and LT those that are links. The composite density of a node is::
 
     C/T * log(C/LC * T/LT) / log(log(C/(C-LC) * LC + LCbody/Cbody * C + e))
 
-that is characters per tag, less where they are links. A node's density sum adds the
-densities of its children. The node with the largest sum is the target, and the threshold is the lowest density on the
-path from it to the body. The text is that of the outermost article around the target; where there is
-none, of the target and of the largest-sum node in every node below the body at or above the threshold;
-outside the target's parent that node must also reach the density of the target's sparsest child, so that a stray label
-in a page of many links, where the threshold is low, is no text.
+that is characters per tag, less where they are links. Elements that only format a run of text are no nodes. A node's density sum adds
+the densities of its children. On every page, whatever its tags are called, the node with the largest sum is the target, and the threshold is
+the lowest density on the path from it to the body. The text is that of the target and of the largest-sum node in every node below the
+body at or above the threshold; outside the target's parent that node must also reach the density of the target's sparsest child,
+so that a stray label in a page of many links, where the threshold is low, is no text.
 
 Elements that are never article text (by tag, role, or a whole token of their class or id: menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) count for
@@ -40,6 +39,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that format a run of text: they are no nodes of the density tree, and not counted as tags.
+FORMAT = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose text is never the article's.
 NEVER = frozenset("head script style noscript template iframe object embed svg math canvas audio video nav footer aside form button select option textarea input label dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -106,7 +107,7 @@ class Page:
             p = self.parent[i]
             self.chars[p] += self.chars[i]
             self.link_chars[p] += self.link_chars[i]
-            self.tags[p] += self.tags[i] + 1
+            self.tags[p] += self.tags[i] + (self.tag[i] not in FORMAT or self.tags[i] < 0)
             self.link_tags[p] += self.link_tags[i] + (self.tag[i] == "a")
 
     def _stay(self) -> frozenset[int]:
@@ -229,7 +230,7 @@ class Page:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 at = n if end is None else end.start()
             if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
-                if not out and not left_out and tag != "wbr":
+                if not out and not left_out and tag not in FORMAT:
                     self.tags[stack[-1]] += 1
                 continue
             is_article, is_link, is_hard = tag == "article", tag == "a", why == "tag"
@@ -277,8 +278,8 @@ class Page:
         """Which nodes are in the main text."""
         n, dens = len(self.tag), self.densities()
         sums = [0.0] * n
-        for i in range(1, n):
-            sums[self.parent[i]] += dens[i]
+        for i in range(n - 1, 0, -1):
+            sums[self.parent[i]] += sums[i] if self.tag[i] in FORMAT else dens[i]
         body = next((i for i, t in enumerate(self.tag) if t == "body" and self.chars[i]), 0)
         # most[i]: the node of the largest sum in the subtree of i; the outer one of equals
         most = list(range(n))
@@ -287,14 +288,13 @@ class Page:
             if self.chars[i] > 0 and sums[most[i]] > sums[most[p]]:
                 most[p] = most[i]
         target = most[body]
-        threshold, i, article = dens[target], target, 0
-        while i > 0:
-            article = i if self.tag[i] == "article" else article
-            threshold = min(threshold, dens[i]) if i > body else threshold
+        threshold, i = dens[target], target
+        while i > body:
+            threshold = min(threshold, dens[i])
             i = self.parent[i]
         inside = [False] * n
-        inside[article or target] = True
-        if not article and target > body:
+        inside[target] = True
+        if target > body:
             sparsest = min((dens[i] for i in range(target + 1, n) if self.parent[i] == target and dens[i] > 0), default=0.0)
             under, near = [False] * n, [False] * n
             under[body] = near[self.parent[target]] = True

@@ -14,7 +14,7 @@ at any number of rules.
 
 Cases: a null url, or one without ``://``, has empty host and path and fits only a
 rule with an empty host and path. Of equal rules the first wins; of rules of equal
-length the one with the longer host. Rows are never dropped or merged; other columns of
+length the one with the longer host, however the rules are cut into blocks. Rows are never dropped or merged; other columns of
 ``pages`` are not carried. An empty table gives an empty result.
 """
 
@@ -63,14 +63,15 @@ class Sweep:
         return out
 
     @staticmethod
-    def best(nodes: tuple, path: str) -> tuple[str, str] | None:
-        """The longest fitting rule; of equal length the one with the longer host."""
-        found, most = None, (-1, -1)
+    def best(nodes: tuple, path: str, most: tuple[int, int] = (-1, -1)) -> tuple[str, str, int, int] | None:
+        """The longest fitting rule above ``most`` (its length, its host's length); of equal length the one with the longer host."""
+        found = None
         for _, paths, lengths, host_len in nodes:
             for n in lengths:
                 if n <= len(path) and (hit := paths.get(path[:n])):
                     if (host_len + n, host_len) > most:
-                        found, most = hit, (host_len + n, host_len)
+                        most = (host_len + n, host_len)
+                        found = (*hit, *most)
                     break
         return found
 
@@ -87,12 +88,14 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
         F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
         F.lit(None).cast("string").alias("rule"),
         F.lit(default).alias("verdict"),
+        F.lit(-1).alias("size"),  # of the rule so far: its length, and its host's
+        F.lit(-1).alias("host_size"),
     )
     schema = rows.schema
     blocks = [rules[i : i + BLOCK] for i in range(0, len(rules), BLOCK)]
     for block in blocks:
         rows = rows.mapInPandas(_pass(rows.sparkSession.sparkContext.broadcast(block)), schema)
-    return rows
+    return rows.drop("size", "host_size")
 
 
 def _pass(rules):
@@ -104,13 +107,9 @@ def _pass(rules):
             nodes: list = [()] * len(hosts)
             for i, x in zip(order, sweep.active([host_key(hosts[i]) for i in order])):
                 nodes[i] = x
-            rule, verdict = [], []
-            for c, path, r, v in zip(codes, b["path"], b["rule"], b["verdict"]):
-                hit = Sweep.best(nodes[c], path) if nodes[c] else None
-                if hit and (r is None or len(hit[0]) > len(r)):
-                    r, v = hit
-                rule.append(r)
-                verdict.append(v)
-            yield b.assign(rule=rule, verdict=verdict)
+            out = []
+            for c, path, *so_far in zip(codes, b["path"], b["rule"], b["verdict"], b["size"], b["host_size"]):
+                out.append(Sweep.best(nodes[c], path, (so_far[2], so_far[3])) or so_far)
+            yield b.assign(**dict(zip(("rule", "verdict", "size", "host_size"), zip(*out)))) if out else b
 
     return run

@@ -1,7 +1,10 @@
 import html as H
+import math
+import random
 import re
+import xml.etree.ElementTree as ET
 
-from corpusmill.llm.html_text import extract, main_text
+from corpusmill.llm.html_text import FORMAT, Page, extract, main_text
 
 PARAS = ["First paragraph of the piece, with enough words in it to count as text.", "Second, with a link and some more words after it.", "Third; it ends here."]
 
@@ -77,6 +80,97 @@ def test_what_holds_most_of_the_text_stays():
     assert main_text(page(f"<p>Short.</p><div class=menu>{links}</div>")) == "Short."
 
 
+def test_densities_choose_inside_an_article(monkeypatch):
+    paras = "".join(f"<p>{p} {p}</p>" for p in PARAS)
+    links = "".join(f"<p><a href={i}>See here also {i}</a></p>" for i in range(40))
+    html = page(f"<article><div>{paras}</div><div>{links}</div></article>")
+    assert main_text(html) == "\n".join(f"{p} {p}" for p in PARAS)
+    monkeypatch.setattr(Page, "densities", lambda self: [1.0 if c > 0 else 0.0 for c in self.chars])
+    assert "See here also" in main_text(html)
+
+
+def brute(html):
+    """The blocks of the main text of a page that is well-formed, from the formulas as they stand."""
+    body = ET.fromstring(html)
+    above = {c: p for p in body.iter() for c in p}
+    strings = lambda e: [x for x in [e.text, *(y for c in e for y in (*strings(c), c.tail))] if x]
+    chars = lambda e: sum(len(re.sub(r"\s+", " ", x).strip()) for x in strings(e))
+    nodes = [e for e in body.iter() if e.tag not in FORMAT]
+    link_chars = lambda e: sum(chars(x) for x in e.iter("a"))
+    share = link_chars(body) / chars(body)
+
+    def density(e):
+        c, lc = chars(e), link_chars(e) if e.tag != "a" else chars(e)
+        if not c:
+            return 0.0
+        t = max(1, sum(x in nodes for x in e.iter()) - 1)
+        lt = max(1, sum(1 for x in e.iter("a") if x is not e))
+        ratio = c / max(lc, 1) * t / lt
+        base = math.log(c / max(c - lc, 1) * max(lc, 1) + share * c + math.e)
+        return c / t * math.log(max(ratio, 1)) / math.log(base)
+
+    def children(e):
+        for c in e:
+            if c.tag in FORMAT:
+                yield from children(c)
+            else:
+                yield c
+
+    dens = {e: density(e) for e in nodes}
+    total = {e: sum(dens[c] for c in children(e)) for e in body.iter()}
+    best = lambda e: max((x for x in e.iter() if x is e or chars(x)), key=lambda x: total[x])
+    target = best(body)
+    path, e = [dens.get(target, 0)], target
+    while e is not body:
+        path.append(dens.get(e, min(path)))
+        e = above[e]
+    threshold = min(path)
+    chosen = {target}
+    if target is not body:
+        low = min((dens[c] for c in children(target) if dens[c] > 0), default=0.0)
+        beside = set(above[target].iter()) if target in above else set()
+        chosen |= {best(x) for x in nodes if x is not body and chars(x) and dens[x] >= threshold and (x in beside or max(dens[x], total[best(x)]) >= low)}
+    inside = {y for x in chosen for y in x.iter()}
+    out = [[]]
+
+    def walk(e):
+        block = e.tag in ("div", "p", "section", "h2")
+        if block:
+            out.append([])
+        if e.text and e in inside:
+            out[-1].append(e.text)
+        for c in e:
+            walk(c)
+            if c.tail and e in inside:
+                out[-1].append(c.tail)
+        if block:
+            out.append([])
+
+    walk(body)
+    return "\n".join(t for x in out if (t := re.sub(r"\s+", " ", "".join(x)).strip()))
+
+
+def test_densities_sums_target_and_threshold_match_brute_force():
+    rnd = random.Random(4)
+
+    def element(depth):
+        kind = rnd.choice(["div", "section", "p", "p", "p", "ul"]) if depth < 5 else "p"
+        if kind == "ul":
+            return "<div>" + "".join(f'<p><a href="{i}">{"link " * rnd.randint(1, 4)}</a></p>' for i in range(rnd.randint(2, 12))) + "</div>"
+        if kind == "p":
+            words = "word " * rnd.choice([1, 3, 20, 60])
+            return f"<p>{words}<b>bold</b> and <a href='x'>one</a> {words}</p>" if rnd.random() < 0.4 else f"<p>{words}</p>"
+        return f"<{kind}>" + "".join(element(depth + 1) for _ in range(rnd.randint(1, 5))) + f"</{kind}>"
+
+    texts = set()
+    for i in range(150):
+        html = "<body>" + "".join(element(0) for _ in range(rnd.randint(1, 4))) + "</body>"
+        want = brute(html)
+        assert main_text(html) == want, html
+        texts.add(len(want) < len(re.sub("<[^>]*>", "", html)) * 0.8)
+    assert texts == {True, False}
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<p") == main_text("   ") == main_text("<script>x") == ""
     assert main_text("just text &lt;b&gt; 1 < 2 &am") == "just text <b> 1 < 2 &am"

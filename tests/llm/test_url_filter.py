@@ -25,10 +25,20 @@ def test_matches_brute_force(spark):
 
 
 def test_blocks_of_rules_agree(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"http://h{i % 7}.example.com/en/{i}") for i in range(60)], "page_id long, url string")
-    whole = sorted(judge_urls(df, RULES).collect())
-    monkeypatch.setattr("corpusmill.llm.url_filter.BLOCK", 2)
-    assert sorted(judge_urls(df, RULES).collect()) == whole
+    ties = [("a", "/xx", "block"), ("b.a", "/", "allow"), ("com", "/en/7", "block"), ("example.com", "", "allow"), ("a", "/xx", "allow"), ("", "b", "block")]
+    urls = [f"http://h{i % 7}.example.com/en/{i}" for i in range(60)] + ["http://b.a/xx", "http://b.a/x", "http://a/xx", "http://com/en/7", "http://example.com/en/7"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for rules in (RULES, ties, ties[::-1], RULES + ties):
+        whole = sorted(map(str, judge_urls(df, rules).collect()))
+        for n in (1, 2):
+            with monkeypatch.context() as m:
+                m.setattr("corpusmill.llm.url_filter.BLOCK", n)
+                assert sorted(map(str, judge_urls(df, rules).collect())) == whole
+        with monkeypatch.context() as m:
+            m.setattr(f"{__name__}.RULES", rules)
+            want = {i: brute(u) for i, u in enumerate(urls)}
+        got = {r.page_id: (r.host, r.path, r.rule) for r in judge_urls(df, rules).collect()}
+        assert got == {i: w[:3] for i, w in want.items()}
 
 
 def test_empty(spark):
