@@ -6,21 +6,22 @@ file system with one sub-folder per version:
 
 ``refs``      (key, doc_id, n): how often a document holds a key; the exact references
 ``counts``    (key, n_docs, last_doc): per key its documents and the largest doc_id
-``filters``   (shard, filter): a cuckoo filter of the keys of a shard, which follows from the key
+``filters``   (shard, shards, filter): a cuckoo filter of the keys of a shard, which follows from the key and the number of shards
 
-A first ``insert`` counts exactly and writes the filters; ``dedup_lines`` is such a first build, so nothing reads them there. A later
+A first ``insert`` counts exactly and writes the filters. A later
 ``insert`` asks the filters first: keys that none of them knows are certainly new and take their counts
-from the batch alone; only the rest meet the old tables. ``delete`` takes a document's references away,
+from the batch alone; only the rest meet the old tables. ``dedup_lines`` inserts the documents in ``BATCHES`` batches, so that
+its counts come through the filters. ``delete`` takes a document's references away,
 and a key's fingerprint with its last one. ``drop_lines`` drops the lines of keys held by ``min_docs`` documents
 or more, except in the largest doc_id that holds the key.
 
 References are dealt by (key, doc_id) and reach the key as partial counts, so a line in
-a third of all documents is no single task's work; shards hold distinct keys only, about
-``SHARD_KEYS`` each.
+a third of all documents is no single task's work; shards hold distinct keys only, at most about
+``SHARD_KEYS`` each, and an index that outgrows its shards is dealt to twice as many.
 
 Cases: null or empty text is one empty line. Rows with equal doc_id are one document for
 counting, and each keeps its own row and text; a null doc_id counts as the smallest. Other columns
-stay as they are, whatever their names. An empty table gives an empty index and no rows.
+stay as they are, whatever their names, in a struct ``row``. An empty table gives an empty index and no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, bounded_batches, shared_dir
+from .common import SPACE_CHARS, ascii_lower, bounded_batches, remove, shared_dir
 
-SHARD_KEYS = 500_000
+SHARD_KEYS, BATCHES = 500_000, 2
 _NULL_DOC = -(2**63)
 
 
@@ -155,10 +156,12 @@ def _doc(c: str) -> Column:
 class LineIndex:
     """One version of the index. ``insert`` and ``delete`` write a new version and leave the old one as it is."""
 
-    TABLES = {"refs": "key binary, doc_id long, n long", "counts": "key binary, n_docs long, last_doc long", "filters": "shard int, filter binary"}
+    TABLES = {"refs": "key binary, doc_id long, n long", "counts": "key binary, n_docs long, last_doc long", "filters": "shard int, shards int, filter binary"}
 
-    def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 1, min_chars: int = 40, min_docs: int = 5):
-        self.spark, self.path, self.shards, self.min_chars, self.min_docs = spark, path, shards, min_chars, min_docs
+    def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 40, min_docs: int = 5):
+        self.spark, self.path, self.min_chars, self.min_docs = spark, path, min_chars, min_docs
+        first = self.table("filters").select("shards").limit(1).collect() if path else []
+        self.shards = first[0].shards if first else 1
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/{name}") if self.path else self.spark.createDataFrame([], self.TABLES[name])
@@ -168,7 +171,14 @@ class LineIndex:
         return self.table(name)
 
     def _new(self) -> LineIndex:
-        return LineIndex(self.spark, shared_dir(self.spark), self.shards, self.min_chars, self.min_docs)
+        new = LineIndex(self.spark, None, self.min_chars, self.min_docs)
+        new.path, new.shards = shared_dir(self.spark), self.shards
+        return new
+
+    def drop(self) -> None:
+        """Remove this version's folder."""
+        if self.path:
+            remove(self.spark, self.path)
 
     def references(self, docs: DataFrame) -> DataFrame:
         """(key, doc_id, n) of the documents' lines."""
@@ -180,15 +190,15 @@ class LineIndex:
     def _counted(refs: DataFrame) -> DataFrame:
         return refs.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
-    def insert(self, docs: DataFrame) -> LineIndex:
-        """The index with documents (doc_id, text) added; a doc_id that it holds already is replaced."""
+    def insert(self, docs: DataFrame, fresh: bool = False) -> LineIndex:
+        """The index with documents (doc_id, text) added; a doc_id that it holds already is replaced. ``fresh``: it holds none of them."""
         new = self._new()
         if self.path is None:
             counts = new._write("counts", self._counted(new._write("refs", self.references(docs))))
             new.shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // SHARD_KEYS))
             new._write("filters", new._build(counts))
             return new
-        base = self.delete(docs)
+        base = self if fresh else self.delete(docs)
         batch = self._new()
         refs = batch._write("refs", base.references(docs))
         new._write("refs", base.table("refs").unionByName(refs))
@@ -200,8 +210,15 @@ class LineIndex:
         merged = old.join(met, "key", "left").select("key", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"))
         false_hits = known.join(old.select("key"), "key", "left_anti")
         first = asked.where("not known").unionByName(false_hits).drop("known")
-        new._write("counts", merged.unionByName(first))
-        new._write("filters", new._changed(base, first, delete=False))
+        counts = new._write("counts", merged.unionByName(first))
+        if (keys := counts.count()) > SHARD_KEYS * self.shards:
+            new.shards = 2 * -(-keys // SHARD_KEYS)
+            new._write("filters", new._build(counts))
+        else:
+            new._write("filters", new._changed(base, first, delete=False))
+        batch.drop()
+        if base is not self:
+            base.drop()
         return new
 
     def delete(self, docs: DataFrame) -> LineIndex:
@@ -231,20 +248,24 @@ class LineIndex:
         return self._by_shard(counts).cogroup(self.table("filters").groupBy("shard")).applyInPandas(ask, self.TABLES["counts"] + ", known boolean")
 
     def _build(self, counts: DataFrame) -> DataFrame:
+        shards = self.shards
+
         def build(a: pd.DataFrame) -> pd.DataFrame:
             f = Cuckoo(2 * len(a))
             f.insert(a["key"].tolist())
-            return pd.DataFrame({"shard": [int(a["shard"].iloc[0])], "filter": [f.to_bytes()]})
+            return pd.DataFrame({"shard": [int(a["shard"].iloc[0])], "shards": [shards], "filter": [f.to_bytes()]})
 
         return self._by_shard(counts.select("key")).applyInPandas(build, self.TABLES["filters"])
 
     def _changed(self, base: LineIndex, keys: DataFrame, delete: bool) -> DataFrame:
         """The filters of ``base`` with keys put in or taken out; a shard that outgrows its filter gets a new one from the exact keys."""
 
+        shards = self.shards
+
         def change(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             f = Cuckoo.from_bytes(b["filter"].iloc[0]) if len(b) else Cuckoo(2 * len(a))
             (f.delete if delete else f.insert)(a["key"].tolist())
-            return pd.DataFrame({"shard": [int((a if len(a) else b)["shard"].iloc[0])], "filter": [f.to_bytes()]})
+            return pd.DataFrame({"shard": [int((a if len(a) else b)["shard"].iloc[0])], "shards": [shards], "filter": [f.to_bytes()]})
 
         filters = base.table("filters")
         keys = keys.select("key")
@@ -263,7 +284,7 @@ class LineIndex:
         return self.table("counts").where(F.col("n_docs") >= self.min_docs).select("key", "last_doc")
 
     def drop_lines(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with the text that is left, and before the other columns _n_lines and _n_dropped.
+        """(row, n_lines, n_dropped): ``row`` has the columns of ``docs`` with the text that is left.
 
         Only texts that lose a line pass through Python.
         """
@@ -290,9 +311,9 @@ class LineIndex:
         j = j.withColumn("cut", cut(F.when(F.col("lost").isNotNull(), F.col("row.text")), "lost"))
         left = F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(F.col("cut.text"))
         return j.select(
-            F.size(lines_of(F.col("row.text"))).cast("long").alias("_n_lines"),
-            F.coalesce("cut.dropped", F.lit(0)).cast("long").alias("_n_dropped"),
-            *[F.col("row")[c].alias(c) if c != "text" else left.alias("text") for c in docs.columns],
+            F.struct(*[F.col("row")[c].alias(c) if c != "text" else left.alias("text") for c in docs.columns]).alias("row"),
+            F.size(lines_of(F.col("row.text"))).cast("long").alias("n_lines"),
+            F.coalesce("cut.dropped", F.lit(0)).cast("long").alias("n_dropped"),
         )
 
 
@@ -300,5 +321,9 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """All documents through a new index; see ``LineIndex.drop_lines``."""
-    return LineIndex(docs.sparkSession, None, 1, min_chars, min_docs).insert(docs).drop_lines(docs)
+    """All documents through an index made in ``BATCHES`` inserts, dealt by doc_id; see ``LineIndex.drop_lines``."""
+    index = LineIndex(docs.sparkSession, None, min_chars, min_docs)
+    for i in range(BATCHES):
+        before, index = index, index.insert(docs.where(F.pmod(F.hash(docs["doc_id"]), F.lit(BATCHES)) == i), fresh=True)
+        before.drop()
+    return index.drop_lines(docs)

@@ -1,5 +1,6 @@
 import random
 
+from corpusmill.llm import line_dedup
 from corpusmill.llm.line_dedup import Cuckoo, LineIndex, dedup_lines
 
 LONG = "This line is Long enough to be counted as a key %d"
@@ -30,18 +31,41 @@ def sample(n=200):
 
 
 def got(df):
-    return sorted(((r.doc_id, r.text, r._n_lines, r._n_dropped) for r in df.collect()), key=str)
+    return sorted(((r.row.doc_id, r.row.text, r.n_lines, r.n_dropped) for r in df.collect()), key=str)
 
 
 def test_matches_brute_force(spark):
     rows = sample()
-    df = spark.createDataFrame([(d, t, 1, 2, "k") for d, t in rows], "doc_id long, text string, lost int, row int, key string")
+    df = spark.createDataFrame([(d, t, 1, 2, "k", 3, None) for d, t in rows], "doc_id long, text string, lost int, row int, key string, n_lines long, cut string")
     out = dedup_lines(df)
     assert got(out) == brute(rows)
-    assert out.columns[2:] == df.columns
+    assert out.schema["row"].dataType.names == df.columns
     assert dedup_lines(df.limit(0)).collect() == []
 
 
+def test_counts_come_through_the_filters(spark, monkeypatch):
+    rows = sample()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    build = LineIndex._build
+    monkeypatch.setattr(LineIndex, "_build", lambda self, counts: build(self, counts.limit(0)))  # filters are left empty
+    assert got(dedup_lines(df)) != brute(rows)
+
+
+def test_shards_grow_with_the_index(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        frame = lambda lo, hi: spark.createDataFrame([(i, LONG % i + "\n" + LONG % 0) for i in range(lo, hi)], "doc_id long, text string")
+        index = LineIndex(spark).insert(frame(0, 8))
+        more = index.insert(frame(8, 60))
+        assert index.shards < more.shards == LineIndex(spark, more.path).shards and more.shards * 4 >= 60
+        assert more._ask(more.table("counts")).where("not known").count() == 0
+        last = {r.row.doc_id: r.n_dropped for r in more.drop_lines(frame(0, 60)).collect()}
+        assert last == {i: int(1 <= i < 59) or (i == 0) * 2 for i in range(60)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_insert_and_delete_are_reversible(spark):
     rows = [r for r in sample(150) if r[0] != 11]
     frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
