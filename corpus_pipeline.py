@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept; the
 first four return the columns of ``documents``. Between stages the documents are written as Parquet
 under the shared folder and read again.
+
+Every stage takes documents with any further columns and passes these on, but for the last, which returns doc_id and ids. Null and empty texts fail
+the quality rules' base (fewer than 20 words), so they go in the first stage; called by itself, each later stage keeps
+them. Rows with an equal doc_id are judged one by one for quality and benchmark items, are one document in line dedup and
+near-dedup (all of them stay or go), and each have their ids. A row with a null doc_id is never a near copy. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -25,13 +31,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that five or more documents share, but for the last of these; n_chars follows."""
-    left = line_dedup.dedup_lines(docs).select(*docs.columns)
+    left = line_dedup.dedup_lines(docs).select("row.*")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else left
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies: five-word shingles, similarity 0.8."""
-    near = materialize(minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct())
+    near = minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(near, "doc_id", "left_anti").select(*docs.columns)
 
 
