@@ -10,10 +10,13 @@ Inside texts a control string gets one backslash after its first character, also
 where backslashes stand there already, so that taking one away restores the text exactly and
 no control string of the template remains. Roles are percent-encoded.
 
+Where windows start is a fold over each conversation's prefix sums alone. Which windows repeat a turn follows from running counts of the
+starts, so texts meet only by (conversation, window), and the work is linear in the turns and in what windows repeat.
+
 Cases: turns go by turn, then role, then text, nulls first; repeated rows stay.
 Null text and null role count as empty. A turn longer than the budget gets a
-window of its own and stays whole. An empty table gives no rows. A conversation is one
-record of the result, so its turns meet in one task; conversations are spread by id.
+window of its own and stays whole. An empty table gives no rows. ``read_windows`` returns a conversation as one
+record, so there its turns meet in one task; before that only their order needs one, which is a sort that spills.
 """
 
 from __future__ import annotations
@@ -53,47 +56,31 @@ def format_windows(conversations: DataFrame, budget: int = 2048, history: int =
     rows = own(conversations, "conv_id", "turn", "role", "text").select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("esc")
     )
-    rows = rows.withColumn("tk", tokens(F.col("esc")))
+    rows = rows.withColumn("tk", tokens(F.col("esc")).cast("long"))
     order = W.partitionBy("conv_id").orderBy("turn", "role", "esc")
-    rows = rows.select(
-        "conv_id",
-        F.row_number().over(order).alias("i"),
-        "role",
-        "esc",
-        F.sum("tk").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("p"),
-    )
-    conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "role", "esc", "p"))).alias("t"))
-    # i counts from 1; element_at(p, i) is the prefix sum through turn i
-    conv = conv.withColumn("p", F.col("t.p")).withColumn("sys", F.when(F.col("t")[0]["role"] == "system", 1).otherwise(0))
-    before = lambda i: F.when(i <= 1, F.lit(0)).otherwise(F.element_at("p", F.greatest(i - 1, F.lit(1)).cast("int")))
-    room = F.lit(budget - history) - F.when(F.col("sys") == 1, F.element_at("p", 1)).otherwise(F.lit(0))
-    conv = conv.withColumn("room", F.greatest(room, F.lit(1)).cast("long"))
-    # Greedy cut: a window starts where the prefix sum since the last start would pass the room.
-    starts = F.aggregate(
-        F.sequence(F.lit(2), F.size("t")),
-        F.array(F.lit(1)),
-        lambda s, i: F.when(
-            # the first turn after a lone system turn never starts a window of its own
-            (F.element_at("p", i) - before(F.greatest(F.element_at(s, -1), F.col("sys") + 1)) > F.col("room")) & (i > F.col("sys") + 1),
-            F.concat(s, F.array(i)),
-        ).otherwise(s),
-    )
-    conv = conv.withColumn("starts", F.when(F.size("t") > 1, starts).otherwise(F.array(F.lit(1))))
-    win = conv.select("*", F.posexplode("starts").alias("window", "s"))
-    win = win.withColumn("e", F.coalesce(F.try_element_at("starts", F.col("window") + 2), F.size("t") + 1))
-    past = F.filter(
-        F.slice("t", F.col("sys") + 1, F.greatest(F.col("s") - 1 - F.col("sys"), F.lit(0))),
-        lambda x: before(F.col("s")) - before(x["i"]) <= history,
-    )
-    win = win.withColumn("repeated", F.when(F.col("window") == 0, F.slice("t", 1, 0)).otherwise(F.concat(F.slice("t", 1, F.col("sys")), past)))
+    turns = rows.select("conv_id", F.row_number().over(order).cast("long").alias("i"), "role", "esc", "tk", F.sum("tk").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("p"))
+    spans = turns.select("conv_id", "i", F.col("i").alias("at"), (F.col("p") - F.col("tk")).alias("before"), ((F.col("i") == 1) & (F.col("role") == "system")).alias("sys"))
+    starts = _starts(turns, budget - history)
+    # own: the window that has the turn as new
+    marks = spans.select("conv_id", F.lit(1).alias("kind"), "i", "at", "before", "sys")
+    marks = marks.unionByName(starts.select("conv_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("i"), F.col("s").alias("at"), "before", F.lit(False).alias("sys")))
+    placed = marks.withColumn("own", _running(F.col("kind") == 0, "at", "kind") - 1).withColumn("all", F.max("own").over(W.partitionBy("conv_id")))
+    # last: of the windows that start within the history's tokens behind the turn
+    placed = placed.withColumn("at", F.col("before") + F.when(F.col("kind") == 1, F.lit(history)).otherwise(0))
+    placed = placed.withColumn("last", _running(F.col("kind") == 0, "at", "kind") - 1).where("kind = 1")
+    last = F.when(F.col("sys"), F.col("all")).otherwise(F.greatest("own", "last"))
+    placed = placed.select(F.col("conv_id").alias("c"), F.col("i").alias("k"), "own", F.explode(F.sequence("own", last)).alias("window"))
+    each = turns.join(placed, turns["conv_id"].eqNullSafe(placed["c"]) & (turns["i"] == placed["k"]))
+    turn = F.struct("i", "role", "esc", (F.col("window") == F.col("own")).alias("new"))
+    win = each.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    win = win.select("conv_id", F.col("window").cast("int").alias("window"), F.filter("t", lambda x: ~x["new"]).alias("repeated"), F.filter("t", lambda x: x["new"]).alias("new"))
     win = win.withColumn("n_repeated", F.size("repeated"))
-    win = win.withColumn("new", F.slice("t", F.col("s"), F.col("e") - F.col("s")))
     head = lambda x: F.concat(F.lit(TURN), F.url_encode(x["role"]), F.lit("\n"))
     lay = lambda x: F.concat(head(x), x["esc"], F.lit(END))
     win = win.withColumn("front", F.array_join(F.transform("repeated", lay), "")).withColumn("back", F.array_join(F.transform("new", lay), ""))
     zero = F.struct(F.length("front").cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     size = lambda c: F.length(c).cast("long")
-    spans = F.aggregate(
+    masks = F.aggregate(
         "new",
         zero,
         lambda a, x: F.struct(
@@ -105,7 +92,47 @@ def format_windows(conversations: DataFrame, budget: int = 2048, history: int =
         ),
         lambda a: a["spans"],
     )
-    return win.select("conv_id", "window", F.concat("front", "back").alias("text"), "n_repeated", spans.alias("loss_spans"))
+    return win.select("conv_id", "window", F.concat("front", "back").alias("text"), "n_repeated", masks.alias("loss_spans"))
+
+
+def _running(flag: Column, *order: str) -> Column:
+    """How many rows of the conversation have the flag, through this one."""
+    return F.sum(F.when(flag, 1).otherwise(0)).over(W.partitionBy("conv_id").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+
+
+#: Starts in one piece of the list that the fold builds: appending copies a piece, and a list of pieces, but never all starts.
+PIECE = 256
+
+
+def _starts(turns: DataFrame, room: int) -> DataFrame:
+    """(conv_id, s, before): the first new turn of each window and the tokens before it.
+
+    Greedy: a window starts where the prefix sum since the last start would pass the room, which a leading system turn lessens; the
+    first turn after that never starts a window of its own.
+    """
+    system = F.col("role") == "system"
+    conv = turns.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("i", "p"))).alias("t"), F.max(F.when((F.col("i") == 1) & system, F.col("p"))).alias("sys")
+    )
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    piece = F.array(F.struct(one.alias("s"), zero.alias("before")))
+    state = F.struct(F.slice(F.array(piece), 1, 0).alias("done"), piece.alias("piece"), zero.alias("base"), zero.alias("p"))
+    most = F.greatest(F.lit(room) - F.coalesce("sys", zero), one)
+    has_sys = F.col("sys").isNotNull()
+
+    def step(a: Column, x: Column) -> Column:
+        cut = (x["p"] - a["base"] > most) & (x["i"] > F.when(has_sys, 2).otherwise(1))
+        full = cut & (F.size(a["piece"]) >= PIECE)
+        start = F.array(F.struct(x["i"].alias("s"), a["p"].alias("before")))
+        return F.struct(
+            F.when(full, F.concat(a["done"], F.array(a["piece"]))).otherwise(a["done"]).alias("done"),
+            F.when(full, start).when(cut, F.concat(a["piece"], start)).otherwise(a["piece"]).alias("piece"),
+            F.when(cut, a["p"]).when(has_sys & (x["i"] == 1), x["p"]).otherwise(a["base"]).alias("base"),
+            x["p"].alias("p"),
+        )
+
+    starts = F.aggregate("t", state, step, lambda a: F.flatten(F.concat(a["done"], F.array(a["piece"]))))
+    return conv.select("conv_id", F.explode(starts).alias("x")).select("conv_id", "x.s", "x.before")
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
@@ -121,10 +148,10 @@ def read_windows(windows: DataFrame) -> DataFrame:
     )
     loss = F.array_join(F.transform("loss_spans", lambda x: unescape(F.substring("text", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))), "")
     each = windows.select("conv_id", F.struct("window", turns.alias("turns"), loss.alias("loss"), F.length("text").cast("long").alias("n")).alias("w"))
-    got = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    got = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"), F.sum("w.n").alias("formatted_chars"))
     return got.select(
         "conv_id",
         F.flatten("w.turns").alias("turns"),
         F.array_join("w.loss", "").alias("loss_text"),
-        F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("formatted_chars"),
+        "formatted_chars",
     )

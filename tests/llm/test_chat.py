@@ -1,7 +1,11 @@
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 from corpusmill.llm import chat
 
@@ -82,3 +86,23 @@ def test_query_and_empty(spark, tmp_path):
     assert (r.conv_id, r.n_turns, r.loss_chars) == (-7, 2, len(t))
     assert r.turns_sha256 == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
     assert r.loss_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+LONG = """
+from pyspark.sql import SparkSession, functions as F
+from corpusmill.llm import chat
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+i = F.col("id")
+role = F.when(i == 0, "system").when(i % 2 == 1, "user").otherwise("assistant")
+rows = spark.range(50_000).select(F.lit(1).cast("long").alias("conv_id"), i.alias("turn"), role.alias("role"), F.concat(F.repeat(F.lit("word "), 60), i.cast("string")).alias("text"))
+got = chat.read_windows(chat.format_windows(rows)).select("conv_id", F.size("turns").alias("n"), F.length("loss_text").alias("loss"), "formatted_chars").collect()
+print("RESULT", *got[0], len(got))
+"""
+
+
+def test_a_very_long_conversation_in_a_small_heap():
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 2g pyspark-shell", "PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+    out = subprocess.run([sys.executable, "-c", LONG], env=env, capture_output=True, text=True, timeout=600).stdout
+    want = sum(300 + len(str(i)) for i in range(2, 50_000, 2))
+    got = out.split("RESULT", 1)[1].split()
+    assert got[:3] == ["1", "50000", str(want)] and got[4] == "1" and int(got[3]) > 2 * want
