@@ -11,7 +11,7 @@ characters at most, one pass over the documents each. Nothing is shuffled.
 
 Cases: null or empty text holds nothing. Null and blank items are no queries; items with k = 0 must stand
 between word borders. Equal items with several ids are all reported. Repeated documents each keep
-their row. Other columns are not carried. Without items every document is clean.
+their row. All columns of a document are carried in ``row``. Without items every document is clean.
 """
 
 from __future__ import annotations

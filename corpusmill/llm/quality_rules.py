@@ -1,7 +1,7 @@
 """Quality rules: a decision list learned by sequential covering from labelled text statistics.
 
 ``text_stats`` counts whole texts. ``learn`` takes a labelled sample of at most ``fit_rows`` rows (chosen by a
-hash of the label row; the bound is the parameter), grows one conjunction of thresholds after
+hash of the label row; the bound is the parameter and holds for the documents these bring, too), grows one conjunction of thresholds after
 another for the rejected class by information gain on two thirds of the sample, prunes each on
 the other third, keeps it if its precision there suffices, and goes on with the rows it
 doesn't cover. ``RuleList.column`` is the ordered conditional expression that Spark evaluates; nothing
@@ -219,7 +219,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, precision:
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(picked), "doc_id")
     cols = features("s")
     got = rows.select("quality", F.xxhash64("doc_id").alias("h"), text_stats("text").alias("s")).select("quality", "h", base_failed("s").alias("base"), *[c.alias(f) for f, c in cols.items()])
-    data = got.where("not base").toPandas().sort_values(["h", "quality"], kind="stable")
+    # a doc_id that many documents have brings no more rows than the bound
+    data = got.where("not base").orderBy("h", "quality", *cols).limit(fit_rows).toPandas()
     if not len(data):
         return RuleList()
     x = {f: data[f].to_numpy(float) for f in cols}

@@ -19,13 +19,14 @@ and then renamed, so that an attempt that is repeated leaves one whole file. The
 one row per shard.
 
 Cases: a null text is an empty one (its end id only). Documents with equal doc_id go in order of
-their ids' bytes; a null doc_id is stored as the smallest number and read back as null, so
+their ids' bytes, and a doc_id that fills several ranges is dealt to them by the first of these; a null doc_id is stored as the smallest number and read back as null, so
 it comes first. Extra columns are not carried.
 An empty table writes no shard.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -33,6 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, own, shared_dir
@@ -140,10 +142,31 @@ class Shard:
         return value
 
 
+#: The normalizer and pre-tokenizer by which a text is its pieces between white space, lower-cased.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def wordwise(path: str) -> bool:
+    """Whether the tokenizers file drops white space, never matches across it and ignores case."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    plain = all(not x["normalized"] and not any(c.isspace() for c in x["content"]) for x in told["added_tokens"])
+    return plain and told.get("truncation") is None and all(told[k] == v for k, v in WORDWISE.items())
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizers file, remembering the ids of pieces between white space.
 
-    The file's tokenizer must drop white space and never match across it. A piece that is
+    That is for files that are ``wordwise``; by any other, texts are encoded whole. A piece that is
     letters below U+0130 and then punctuation of ``TAIL`` is looked up as both parts; any other is
     encoded as it stands. What isn't known yet goes to the library in one call per batch.
     Texts with U+001C to U+001F, which only Python counts as space, are encoded whole.
@@ -154,7 +177,7 @@ class WordEncoder:
     def __init__(self, path: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
 
-        self.lib, self.kind = Tokenizer.from_file(path), kind
+        self.lib, self.kind, self.wordwise = Tokenizer.from_file(path), kind, wordwise(path)
         self.known: dict[str, bytes] = {}
 
     def parts(self, piece: str) -> tuple[str, ...]:
@@ -180,7 +203,7 @@ class WordEncoder:
         """The ids of each text as little-endian unsigned integers of the encoder's kind."""
         if len(self.known) > self.MOST:
             self.known.clear()
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        split = [None if not self.wordwise or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         if new := set().union(*(s for s in split if s)).difference(self.known):
             self.learn(new)
         get = self.known.__getitem__
@@ -213,7 +236,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None, path:
     rows = own(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NULL_DOC)).alias("doc_id"), "text")
     n = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Borders from the ids alone; at most n numbers come to the driver.
-    borders = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("b")).first().b or [])) if n > 1 else []
+    borders = np.asarray(sorted(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("b")).first().b or []) if n > 1 else [], np.int64)
     from tokenizers import Tokenizer
 
     # Ids travel in two bytes where they fit.
@@ -227,12 +250,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None, path:
             texts = [t or "" for t in b["text"]]
             for lo, hi in _runs(texts, 2_000_000):
                 got = [x + end for x in e.encode(texts[lo:hi])]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi], "n": [len(x) // wide for x in got], "ids": got})
+                doc = b["doc_id"].to_numpy(np.int64)[lo:hi]
+                first = np.fromiter((int.from_bytes(x[:4].ljust(4, b"\0")) >> 1 for x in got), np.int64, len(got))
+                yield pd.DataFrame({"doc_id": doc, "n": [len(x) // wide for x in got], "ids": got, "range": ranged(doc, first, borders)})
 
-    where = F.lit(0)
-    if borders:
-        where = F.size(F.filter(F.array(*[F.lit(x) for x in borders]), lambda x: x <= F.col("doc_id")))
-    coded = rows.mapInPandas(ids, "doc_id long, n long, ids binary").withColumn("range", where)
+    coded = rows.mapInPandas(ids, "doc_id long, n long, ids binary, range long")
     dealt = coded.repartitionById(n, F.col("range").cast("int")).sortWithinPartitions("range", "doc_id", "ids")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,6 +295,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None, path:
     return materialize(dealt.mapInPandas(write, "file string, range long, part long, n_docs long, n_ids long"))
 
 
+def ranged(doc: np.ndarray, first: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """The range of each doc_id; one that is several borders is dealt to as many ranges by ``first`` (31 bits)."""
+    lo, hi = np.searchsorted(borders, doc, "left"), np.searchsorted(borders, doc, "right")
+    return np.where(hi - lo > 1, lo + 1 + ((hi - lo) * first >> 31), hi)
+
+
 def _runs(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of about so many characters."""
     lo = size = 0
@@ -287,14 +315,12 @@ def _runs(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
 
 def read_documents(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; ``start`` counts all ids before it."""
-    shards = [(r.file, r.n_ids) for r in manifest.orderBy("range", "part").select("file", "n_ids").collect()]
-    base, at = {}, 0
-    for name, n in shards:  # one entry for each shard of about SHARD_IDS ids
-        base[name], at = at, at + n
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not shards:
-        return spark.createDataFrame([], schema)
-    sent = spark.sparkContext.broadcast(base)
+    # ids before each shard: those of earlier ranges (one row for each range), then those of earlier parts
+    ranges = manifest.groupBy("range").agg(F.sum("n_ids").alias("ids"))
+    ranges = ranges.select("range", (F.sum("ids").over(W.orderBy("range")) - F.col("ids")).alias("earlier"))
+    before = F.col("earlier") + F.sum("n_ids").over(W.partitionBy("range").orderBy("part")) - F.col("n_ids")
+    shards = manifest.join(ranges, "range").select("file", before.alias("before"))
+    schema = "file string, doc_id long, start long, n_tokens long, ids_crc32 long"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -305,16 +331,19 @@ def read_documents(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
                 starts = s.starts.astype(np.int64)
                 yield pd.DataFrame(
                     {
+                        "file": name.rsplit("/", 1)[-1],
                         "doc_id": s.doc_ids.astype(np.int64),
-                        "start": starts + sent.value[name.rsplit("/", 1)[-1]],
+                        "start": starts,
                         "n_tokens": ends - starts,
                         "ids_crc32": np.fromiter((zlib.crc32(flat[x:y]) for x, y in zip(starts, ends)), np.int64, len(starts)),
                     }
                 )
 
+    if not manifest.limit(1).count():
+        return spark.createDataFrame([], schema).drop("file")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(path)
-    got = files.select("path", "content").mapInPandas(read, schema)
-    return got.withColumn("doc_id", F.when(F.col("doc_id") != NULL_DOC, F.col("doc_id")))
+    got = files.select("path", "content").mapInPandas(read, schema).join(shards, "file")
+    return got.select(F.when(F.col("doc_id") != NULL_DOC, F.col("doc_id")).alias("doc_id"), (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def store_and_read(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> DataFrame:

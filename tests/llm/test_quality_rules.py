@@ -68,3 +68,11 @@ def test_learning_and_held_out_precision(spark):
     assert judged[judged["quality"] == 1]["kept"].mean() > 0.97
     assert q.learn(docs, labels.limit(0)).rules == [] and q.learn(docs.limit(0), labels).rules == []
     assert q.judge(docs.limit(0), rules).collect() == []
+
+
+def test_repeated_documents_are_bounded_too(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q, "cover", lambda x, y, *a: seen.append(len(y)) or q.RuleList())
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(200)], "doc_id long, text string")
+    q.learn(docs, spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, quality long"), fit_rows=50)
+    assert seen == [50]

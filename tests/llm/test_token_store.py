@@ -53,3 +53,29 @@ def test_store_and_read(spark, monkeypatch):
         at += len(x) // 4
     assert got == sorted(want, key=str)
     assert store_and_read(df.limit(0), PATH).collect() == []
+
+
+def test_other_tokenizers_encode_whole_texts():
+    e = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not e.wordwise and WordEncoder(PATH).wordwise
+    t = [x or "" for x in texts()]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(t)] == [ids(e.lib, x) for x in t]
+
+
+def test_a_doc_id_of_many_rows_is_dealt_to_several_ranges(spark):
+    borders = np.asarray([3, 7, 7, 7, 7, 9])
+    doc, first = np.asarray([1, 3, 5, 7, 7, 7, 8, 9, 10]), np.asarray([0, 0, 0, 0, 1 << 30, (1 << 31) - 1, 0, 0, 0])
+    assert token_store.ranged(doc, first, borders).tolist() == [0, 1, 1, 2, 4, 5, 5, 6, 6]
+    rnd = random.Random(3)
+    rows = [(7, f"word {rnd.random()}") for _ in range(300)] + [(None, f"x {i}") for i in range(40)] + [(i, f"y {i}") for i in range(30)]
+    got = store_and_read(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 1).collect()
+    lib = WordEncoder(PATH).lib
+    want = sorted((-1 if d is None else d, zlib.crc32(np.asarray(ids(lib, t) + [1], "<u4").tobytes())) for d, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids_crc32) for r in got) == want
+    got.sort(key=lambda r: r.start)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order)
