@@ -20,7 +20,7 @@ def components(links: DataFrame, keep) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("c").alias("v"), F.col("v").alias("c")))
         least = both.groupBy("v").agg(F.least(F.col("v"), F.min("c")).alias("m"))
-        large = both.join(least, "v").where("c > v").select(F.col("c").alias("v"), F.col("m").alias("c")).distinct()
+        large = both.join(least, "v").where("c > v").select(F.col("c").alias("v"), F.col("m").alias("c"))
         lower = large.groupBy("v").agg(F.min("c").alias("m"))
         tied = large.join(lower, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("c")), F.struct(F.col("c").alias("v"), F.col("m").alias("c")))).alias("e"))
         tied = tied.select("e.v", "e.c").where("v != c").distinct()

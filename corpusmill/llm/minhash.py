@@ -10,14 +10,14 @@ collection with a chance of 1e-5 at most.
    agree (a link at the threshold fails that by a chance below 1e-6).
 3. Star rounds: each bucket has a leader, and the others are compared with it, set against set, if they are candidates. The
    first round takes of a class's leaders the one that agrees best, which links most of a group of copies at one comparison
-   each. Later rounds take all leaders and then leave them out of their buckets, as they have met every member. Classes that
+   each. ``ROUNDS`` further ones take all leaders and then leave them out of their buckets, as they have met every member. Classes that
    confirmed links join already are never compared, and a bucket that is one component is done.
-4. What is left after ``ROUNDS`` of these is compared in pairs of blocks of at most ``BLOCK_BYTES`` of sets and ``BLOCK_ROWS`` classes;
+4. What is left after these is compared in pairs of blocks of at most ``BLOCK_BYTES`` of sets and ``BLOCK_ROWS`` classes;
    two blocks of one component never meet.
 5. Components of the links.
 
 No cap drops a pair, and no step writes the pairs of a group. A leader of many classes is sent to parts of
-``BLOCK_BYTES`` of these, so memory doesn't grow with a group or with its texts; keys are counted by
+``BLOCK_ROWS`` of these, which pass it one by one, so memory doesn't grow with a group or with its texts; keys are counted by
 partial aggregates, and joins on hot keys are split at run time.
 
 Cases: null text, or text without words, has an empty set and is linked with nothing. With fewer words than a shingle
@@ -44,8 +44,8 @@ from .components import components
 K, COLUMNS = 2, 4096
 #: Bounds of a block of sets, and of what one leader meets in one task.
 BLOCK_ROWS, BLOCK_BYTES = 250, 8 << 20
-#: Star rounds that leave leaders out.
-ROUNDS = 1
+#: Further star rounds, which leave leaders out; each costs some thirty stages.
+ROUNDS = 0
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -321,8 +321,7 @@ def _confirm(percent: int):
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the links among pairs (lead, cid), from their sets (cid, bytes, h)."""
-    size = pairs.join(sets.select("cid", "bytes").hint("merge"), "cid").groupBy("lead").agg(F.count("*").alias("k"), F.sum("bytes").alias("w"))
-    parts = size.select("lead", F.greatest(F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("w") / BLOCK_BYTES)).alias("parts"))
+    parts = pairs.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
     others = pairs.join(parts.hint("merge"), "lead").select("lead", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("parts")).alias("part"), "cid")
     others = others.join(sets.hint("merge"), "cid").select("lead", "part", F.lit(False).alias("leads"), "cid", "h")
     leads = parts.join(sets.hint("merge"), parts["lead"] == sets["cid"])
@@ -335,13 +334,15 @@ def _left_over(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: in
     """(a, b): links between components among the members (key, cid, c) of each bucket, by pairs of blocks."""
     rows = dealt(members, "key", F.lit(1), 4 * BLOCK_ROWS).select("key", "_i", "_j", "cid", "c").join(sigs.hint("merge"), "cid")
     rows = rows.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "cid")
-    tree = keep(rows.mapInPandas(_candidates, "a long, b long").distinct())
+    tree = keep(rows.mapInPandas(_candidates, "a long, b long"))
+    if not tree.limit(1).count():
+        return tree
     groups = components(tree, keep).select(F.col("v").alias("cid"), F.col("c").alias("gid"))
     rows = groups.join(members.select("cid", "c").distinct().hint("merge"), "cid").join(sets.select("cid", "bytes").hint("merge"), "cid")
     weight = F.greatest(F.col("bytes"), F.lit(BLOCK_BYTES // BLOCK_ROWS))  # so that it bounds the rows as well
     rows = dealt(keep(rows), "gid", weight, BLOCK_BYTES).select("gid", "_i", "_j", "c", "cid").join(sets.select("cid", "h").hint("merge"), "cid")
     rows = rows.repartition("gid", "_i", "_j").sortWithinPartitions("gid", "_i", "_j", "cid")
-    return rows.mapInPandas(_confirm(percent), "a long, b long")
+    return keep(rows.mapInPandas(_confirm(percent), "a long, b long"))
 
 
 def _links(classes: DataFrame, rows: DataFrame, joined: DataFrame, m: int, shingle: int, percent: int, keep) -> DataFrame:
@@ -371,19 +372,18 @@ def _links(classes: DataFrame, rows: DataFrame, joined: DataFrame, m: int, shing
     sets = keep(texts.mapInPandas(_sets(shingle), "cid long, bytes long, h binary"))
     best = candidates(members).groupBy("cid").agg(F.max_by("lead", F.struct("agree", "lead")).alias("lead"))
     links = joined.unionByName(keep(_compared(keep(best), sets, percent)))
-    for turn in range(1, ROUNDS + 3):
-        labels = components(links, keep)
-        if turn == ROUNDS + 2:
-            break
+    labels = components(links, keep)
+    for turn in range(1, ROUNDS + 2):
         members = members.select("key", "cid").join(labels.withColumnRenamed("v", "cid").hint("merge"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
         members = led(members, turn)
-        if not members.limit(1).count():
-            break
         if turn <= ROUNDS:
-            links = links.unionByName(keep(_compared(keep(candidates(members).select("lead", "cid")), sets, percent)))
+            more = keep(_compared(keep(candidates(members).select("lead", "cid")), sets, percent))
             members = members.where("cid != lead")
         else:
-            links = links.unionByName(keep(_left_over(members.select("key", "cid", "c"), sigs, sets, percent, keep)))
+            more = _left_over(members.select("key", "cid", "c"), sigs, sets, percent, keep)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            labels = components(links, keep)
     return labels
 
 
