@@ -24,16 +24,15 @@ HUNDRED_ENDING, ONE_HUNDRED, MINUS, POINT = "শো", "একশো", "ঋণা
 PLACES = ((10_000_000, "কোটি"), (100_000, "লাখ"), (1000, "হাজার"))
 MONTHS = "জানুয়ারি ফেব্রুয়ারি মার্চ এপ্রিল মে জুন জুলাই আগস্ট সেপ্টেম্বর অক্টোবর নভেম্বর ডিসেম্বর".split()
 TAKA, PAISA, YEAR = "টাকা", "পয়সা", "সাল"
-CURRENCIES = {"৳": "টাকা", "টাকা": "টাকা", "$": "ডলার", "₹": "রুপি"}
 LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", "এ বি সি ডি ই এফ জি এইচ আই জে কে এল এম এন ও পি কিউ আর এস টি ইউ ভি ডব্লিউ এক্স ওয়াই জেড".split()))
+#: How money, telephone numbers, dates, numbers and years are written.
+_MONEY = re.compile(r"৳\s*([০-৯\d]+)(?:\.([০-৯\d]+))?")
+_PHONE = re.compile(r"\b(?:০১[৩-৯][০-৯]{8}|01[3-9]\d{8})\b")
+_DATE = re.compile(r"([০-৯\d]{1,2})[/\-]([০-৯\d]{1,2})[/\-]([০-৯\d]{2,4})")
+_NUMBER = re.compile(r"([০-৯\d]+)(?:\.([০-৯\d]+))?")
+_YEAR = re.compile(r"([০-৯\d]{4})\s*(?:সাল|সালে|সালের)?")
 # ---------------------------------------------------------------------------------------------------
 
-_D = r"[০-৯\d]"
-_MONEY = re.compile(rf"৳\s*({_D}+)(?:\.({_D}+))?")
-_PHONE = re.compile(r"\b(?:০১[৩-৯][০-৯]{8}|01[3-9]\d{8})\b")
-_DATE = re.compile(rf"({_D}{{1,2}})[/\-]({_D}{{1,2}})[/\-]({_D}{{2,4}})")
-_NUMBER = re.compile(rf"({_D}+)(?:\.({_D}+))?")
-_YEAR = re.compile(rf"({_D}{{4}})\s*(?:সাল|সালে|সালের)?")
 _LATIN = re.compile(r"\b[a-zA-Z]+\b")
 _MARKS = re.compile(r"[।,;:!?\"'()\[\]{}–—\-]")
 _RUN = re.compile(r"[।,.!?]+")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.profiles import BENGALI, Profile
-from .ranking import global_rank
+from .ranking import global_rank, shared_table
 
 
 def analyze(df: DataFrame, profile: Profile = BENGALI) -> DataFrame:
@@ -110,7 +110,7 @@ def balanced_rank(df: DataFrame, group: Column, shares: dict[str, float], name:
 
     Groups are three or so, so their places come from ``global_rank`` and their counts, not from a window over each.
     """
-    rows = df.withColumn("_g", group)
+    rows = shared_table(df.withColumn("_g", group))  # counted, ranked and dealt from one table
     counts = {r._g: r.n for r in rows.groupBy("_g").agg(F.count("*").alias("n")).collect()}  # one row for each group
     total = sum(counts.values())
     quota = {g: min(int(total * s), counts.get(g, 0)) for g, s in shares.items()}

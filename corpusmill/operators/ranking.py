@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """``df`` written under spark.checkpoint.dir and read back; a folder is set where the setting is absent."""
+    """``df`` written under spark.checkpoint.dir and read back; the folder is removed when the driver ends.
+
+    Where the setting is absent a temporary folder is set on a local master; on a cluster that is an error.
+    """
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/corpusmill/{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

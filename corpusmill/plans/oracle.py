@@ -127,7 +127,7 @@ ORACLE = {
         WHEN char_count <= 80 THEN '51-80' ELSE '80+' END AS bucket FROM s) SELECT a.bucket, count(b.bucket) AS sentences FROM (SELECT unnest({_list(BUCKETS)}) AS bucket) a LEFT JOIN b USING (bucket) GROUP BY 1""",
     "category_coverage": f"""WITH {_SENT}, i AS (SELECT unnest({_list(LATIN.labelled())}) AS unit), u AS (SELECT DISTINCT unnest(units) AS unit FROM s)
         SELECT split_part(i.unit, ':', 1) AS category, count(u.unit) AS covered, count(*) AS total, round(count(u.unit) * 100 / count(*), 6) AS percent FROM i LEFT JOIN u USING (unit) GROUP BY 1""",
-    "missing_units": f"""WITH {_SENT}, i AS (SELECT unnest({_list(LATIN.labelled())}) AS unit), u AS (SELECT DISTINCT unnest(units) AS unit FROM s WHERE char_count <= 6)
+    "missing_units": f"""WITH {_SENT}, i AS (SELECT unnest({_list(LATIN.labelled())}) AS unit), u AS (SELECT DISTINCT unnest(units) AS unit FROM s)
         SELECT split_part(unit, ':', 1) AS category, unit FROM i WHERE unit NOT IN (SELECT unit FROM u)""",
     "balance_types": _balance("sentence_type", [("statement", 0.60), ("question", 0.25), ("exclamation", 0.15)], "type_rank"),
     "balance_lengths": _balance("CASE WHEN char_count <= 20 THEN 'short' WHEN char_count <= 50 THEN 'medium' ELSE 'long' END", [("short", 0.25), ("medium", 0.50), ("long", 0.25)], "length_rank"),
@@ -152,7 +152,7 @@ ORACLE = {
     "match_audio": f"WITH {_MATCH} SELECT doc_id, audio, wav FROM k",
     "ljspeech_filelist": f"WITH {_MATCH} SELECT '/data/wav/' || wav || '.wav|' || text || '|' || text AS value FROM k WHERE wav || '.wav' IN (SELECT name FROM n)",
     "recording_metadata": """WITH e AS (SELECT user_id, event_type, CASE WHEN event_id % 5 > 0 THEN floor(value)::BIGINT END AS v FROM events),
-        n AS (SELECT * FROM e WHERE user_id % 3 = 0 EXCEPT SELECT * FROM e WHERE user_id % 2 = 0), a AS (SELECT * FROM e WHERE user_id % 2 = 0 UNION ALL SELECT * FROM n) SELECT user_id, count(*) AS n FROM a GROUP BY 1""",
+        n AS (SELECT * FROM e WHERE user_id % 2 IS DISTINCT FROM 0 OR user_id % 3 = 0 EXCEPT SELECT * FROM e WHERE user_id % 2 = 0), a AS (SELECT * FROM e WHERE user_id % 2 = 0 UNION ALL SELECT * FROM n) SELECT user_id, count(*) AS n FROM a GROUP BY 1""",
     "validate_entries": f"""WITH {_META}, {_FILES} SELECT doc_id, f.name IS NOT NULL AND text <> '' AS valid, (f.name IS NULL)::BIGINT + (text = '')::BIGINT AS n_issues, duration AS actual_duration FROM m LEFT JOIN f ON f.name = m.filename""",
     "signal_metrics": f"WITH {_signal(1000)} SELECT vec_id, round(duration, 6) AS duration, round(peak, 6) AS peak, round(rms_db, 6) AS rms_db, round(snr_db, 6) AS snr_db, round(silent_share, 6) AS silent_share FROM mt",
     "audio_verdicts": f"""WITH {_signal(100)}, {_VERDICT} SELECT vec_id, duration, clipping, rms, snr, silence_only,
@@ -180,7 +180,7 @@ ORACLE = {
     "stop_decisions": f"WITH {_STOP}, la AS (SELECT run, arg_max(score, (ts, step)) AS score FROM r GROUP BY run) SELECT run, z.stop IS NOT NULL OR score < 0.5 AS stop FROM st JOIN la USING (run)",
     "collapse_actions": f"""WITH {_COLLAPSE}, {_BACK}, z AS (SELECT run, arg_max(collapsed, (ts, step)) AS collapsed FROM c GROUP BY run)
         SELECT run, CASE WHEN NOT collapsed THEN 'continue' WHEN path IS NOT NULL THEN 'rollback' ELSE 'stop' END AS action, path FROM z LEFT JOIN bk USING (run)""",
-    "mean_values": "SELECT round(coalesce(avg(value), 0), 6) AS mean FROM events WHERE user_id < 20 UNION ALL SELECT 0",
+    "mean_values": "SELECT round(coalesce(avg(value), 0), 6) AS mean FROM events",
     "word_similarity": """WITH p AS (SELECT p_partkey, p_name AS a, lower(p_type) || ' ' || split_part(p_name, ' ', 2) AS b FROM part)
         SELECT p_partkey, round(CASE WHEN a = b THEN 1 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS similarity,
         round(len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) / len(list_distinct(list_concat(string_split(a, ''), string_split(b, '')))), 6) AS overlap FROM p""",

@@ -37,10 +37,16 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return readers.lines_of(_table(spark, d, "documents"))
 
 
+def _normalized(spark: SparkSession, d: str) -> DataFrame:
+    """Normalized lines with ``ord`` = (doc_id, pos)."""
+    # one element or none, so that the filter doesn't repeat the whole chain
+    kept = F.filter(F.array(T.normalize_sentence(F.col("text"), LATIN, _plain)), lambda x: x != "")
+    return _lines(spark, d).withColumn("text", F.explode(kept)).withColumn("ord", F.struct("doc_id", "pos"))
+
+
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Normalized lines with ``ord`` = (doc_id, pos), analyzed."""
-    rows = _lines(spark, d).withColumn("text", T.normalize_sentence(F.col("text"), LATIN, _plain)).where("text <> ''")
-    return corpus.analyze(rows.withColumn("ord", F.struct("doc_id", "pos")), LATIN)
+    """Normalized lines, analyzed."""
+    return corpus.analyze(_normalized(spark, d), LATIN)
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +56,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 @query
 def curate_lines(spark, d):
     """Lines, normalize, dedup, score, the 500 best."""
-    best = corpus.top(corpus.score(corpus.deduplicate(_sentences(spark, d)), LATIN), 500)
+    best = corpus.top(corpus.score(corpus.analyze(corpus.deduplicate(_normalized(spark, d)), LATIN), LATIN), 500)
     return best.select("doc_id", F.col("pos").cast("long").alias("pos"), "text", "quality_score")
 
 
