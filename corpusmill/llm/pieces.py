@@ -61,7 +61,7 @@ class Pieces:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    MOST = 50_000
+    MOST = 150_000
 
     def best(self, s: str) -> list[int]:
         """Ids of the best segmentation of a text that is already written with U+2581; "\\0" stands for a U+2581 of the text itself."""
