@@ -99,8 +99,11 @@ def _counts(text: pd.Series) -> pd.DataFrame:
 
 
 def text_stats(text: str) -> Column:
-    """The statistics of a text column, as a struct."""
-    return F.pandas_udf(_counts, STATS)(text)
+    """The statistics of a text column, as a struct.
+
+    Marked as not deterministic, so that no filter on them is pushed below a join or counts a text once more.
+    """
+    return F.pandas_udf(_counts, STATS).asNondeterministic()(text)
 
 
 def base_failed(s: str) -> Column:
