@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +85,7 @@ def ascii_lower_sql(expr: str) -> str:
 
 
 #: Most bytes of texts in one Arrow batch, on their way to and in a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -92,6 +96,33 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: What a Python worker remembers from task to task: functions that forget it, by the name of the operator that uses it.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def lean(run: Callable[[Iterator], Iterator], name: str = "") -> Callable[[Iterator], Iterator]:
+    """``run`` as a task of the operator ``name``: first the worker forgets what other operators remember, at the end it gives free memory back."""
+
+    def task(batches: Iterator) -> Iterator:
+        for other in [x for x in MEMORIES if x != name]:
+            MEMORIES.pop(other)()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    """Give free memory of Arrow and of the C library back to the system; a worker process keeps it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def own(df: DataFrame, *keep: str) -> DataFrame:
     """Only the columns an operator works on, so extra columns with clashing names can do no harm."""
     bounded_batches(df.sparkSession)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, own
+from .common import bounded_batches, lean, own
 
 BLOCK_CHARS = 4_000_000
 RATE = 0.07
@@ -161,6 +161,5 @@ def _pass(rows: DataFrame, block: list, rate: float) -> DataFrame:
         for texts in batches:
             yield pd.Series([[{"item_id": i, "distance": d} for i, d in matcher.find(t).items()] for t in texts])
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    found = F.pandas_udf(run, "array<struct<item_id:bigint,distance:bigint>>")(F.col("row.text"))
+    found = F.pandas_udf(lean(run), "array<struct<item_id:bigint,distance:bigint>>", F.PandasUDFType.SCALAR_ITER)(F.col("row.text"))
     return rows.withColumn("hits", F.array_sort(F.concat("hits", found)))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, own
+from .common import Scratch, lean, materialize, own
 from .components import components
 
 K, COLUMNS = 2, 4096
@@ -327,14 +327,14 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     leads = parts.join(sets.hint("merge"), parts["lead"] == sets["cid"])
     leads = leads.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"), "cid", "h")
     rows = leads.unionByName(others).repartition("lead", "part").sortWithinPartitions("lead", "part", F.desc("leads"), "cid")
-    return rows.mapInPandas(_with_leader(percent), "a long, b long")
+    return rows.mapInPandas(lean(_with_leader(percent)), "a long, b long")
 
 
 def _left_over(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, keep) -> DataFrame:
     """(a, b): links between components among the members (key, cid, c) of each bucket, by pairs of blocks."""
     rows = dealt(members, "key", F.lit(1), 4 * BLOCK_ROWS).select("key", "_i", "_j", "cid", "c").join(sigs.hint("merge"), "cid")
     rows = rows.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "cid")
-    tree = keep(rows.mapInPandas(_candidates, "a long, b long"))
+    tree = keep(rows.mapInPandas(lean(_candidates), "a long, b long"))
     if not tree.limit(1).count():
         return tree
     groups = components(tree, keep).select(F.col("v").alias("cid"), F.col("c").alias("gid"))
@@ -342,7 +342,7 @@ def _left_over(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: in
     weight = F.greatest(F.col("bytes"), F.lit(BLOCK_BYTES // BLOCK_ROWS))  # so that it bounds the rows as well
     rows = dealt(keep(rows), "gid", weight, BLOCK_BYTES).select("gid", "_i", "_j", "c", "cid").join(sets.select("cid", "h").hint("merge"), "cid")
     rows = rows.repartition("gid", "_i", "_j").sortWithinPartitions("gid", "_i", "_j", "cid")
-    return keep(rows.mapInPandas(_confirm(percent), "a long, b long"))
+    return keep(rows.mapInPandas(lean(_confirm(percent)), "a long, b long"))
 
 
 def _links(classes: DataFrame, rows: DataFrame, joined: DataFrame, m: int, shingle: int, percent: int, keep) -> DataFrame:
@@ -362,14 +362,14 @@ def _links(classes: DataFrame, rows: DataFrame, joined: DataFrame, m: int, shing
     def candidates(members: DataFrame) -> DataFrame:
         pairs = members.where("c != lead_c").select("lead", "cid").distinct()
         pairs = pairs.join(sigs.hint("merge"), "cid").join(sigs.select(F.col("cid").alias("lead"), F.col("sig").alias("lead_sig")).hint("merge"), "lead")
-        return pairs.mapInPandas(_agreeing, "lead long, cid long, agree long")
+        return pairs.mapInPandas(lean(_agreeing), "lead long, cid long, agree long")
 
     members = led(tables.withColumn("c", F.col("cid")), 0)
     # the sets of all classes in buckets, of one row each
     need = members.select("cid").distinct().join(classes.select("cid", "rep", "th").hint("merge"), "cid")
     texts = rows.join(need.hint("merge"), (rows["doc_id"] == need["rep"]) & (rows["th"] == need["th"]))
     texts = texts.groupBy(need["rep"], need["th"], need["cid"]).agg(F.first("text").alias("text")).select("cid", "text")
-    sets = keep(texts.mapInPandas(_sets(shingle), "cid long, bytes long, h binary"))
+    sets = keep(texts.mapInPandas(lean(_sets(shingle)), "cid long, bytes long, h binary"))
     best = candidates(members).groupBy("cid").agg(F.max_by("lead", F.struct("agree", "lead")).alias("lead"))
     links = joined.unionByName(keep(_compared(keep(best), sets, percent)))
     labels = components(links, keep)
@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """(doc_id, n_shingles, component_id, kept) per row; links where 100 * intersection >= percent * union."""
     m = collections(percent / 100)
     rows = own(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
-    feats = materialize(rows.mapInPandas(_features(shingle, m), "doc_id long, th long, n long, digest binary, sig binary, x array<long>, y array<long>"))
+    feats = materialize(rows.mapInPandas(lean(_features(shingle, m)), "doc_id long, th long, n long, digest binary, sig binary, x array<long>, y array<long>"))
     full = feats.where("digest is not null and doc_id is not null")
     with Scratch(docs.sparkSession) as scratch:
         # one row for each class of equal sets; its number stands once it is written

@@ -25,11 +25,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import own
+from .common import MEMORIES, lean, own
 
 SPACE = "▁"
 UNKNOWN = 10.0
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_SEGMENT = re.compile(" +[^ ]*|[^ ]+")
 
 
 class Pieces:
@@ -99,17 +99,19 @@ class Pieces:
             return b""
         if SPACE in text:
             return self._rare(text)
-        s = SPACE + text.replace(" ", SPACE)
         if not self.cuts:
-            return np.asarray(self.best(s), "<u4").tobytes()
-        return b"".join(map(self._known, _SEGMENT.findall(s)))
+            return self._ids(" " + text)
+        return b"".join(map(self._known, _SEGMENT.findall(" " + text)))
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.best(text.replace(" ", SPACE)), "<u4").tobytes()
 
     def _known(self, seg: str) -> bytes:
         got = self.young.get(seg)
         if got is None:
             got = self.old.get(seg)
             if got is None:
-                got = np.asarray(self.best(seg), "<u4").tobytes()
+                got = self._ids(seg)
             if len(seg) <= 64:
                 if len(self.young) > self.MOST:
                     self.old, self.young = self.young, {}
@@ -138,6 +140,7 @@ def loaded(path: str) -> Pieces:
     """One for each worker process."""
     if path not in _LOADED:
         _LOADED[path] = Pieces(path)
+    MEMORIES["pieces"] = _LOADED.clear
     return _LOADED[path]
 
 
@@ -158,4 +161,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 }
             )
 
-    return own(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids binary, ids_crc32 long, round_trip boolean")
+    return own(docs, "doc_id", "text").mapInPandas(lean(run, "pieces"), "doc_id long, n_tokens long, ids binary, ids_crc32 long, round_trip boolean")

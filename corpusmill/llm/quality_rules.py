@@ -17,6 +17,7 @@ unchanged.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 #: White space to Python's str.split that isn't in [\x20\x09-\x0D].
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -94,8 +95,9 @@ def count_text(text: str | None) -> tuple[int, ...]:
 _NAMES = [x.split()[0] for x in STATS.split(", ")]
 
 
-def _counts(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([count_text(t) for t in text], columns=_NAMES)
+def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for text in batches:
+        yield pd.DataFrame([count_text(t) for t in text], columns=_NAMES)
 
 
 def text_stats(text: str) -> Column:
@@ -103,7 +105,7 @@ def text_stats(text: str) -> Column:
 
     Marked as not deterministic, so that no filter on them is pushed below a join or counts a text once more.
     """
-    return F.pandas_udf(_counts, STATS).asNondeterministic()(text)
+    return F.pandas_udf(lean(_counts), STATS, F.PandasUDFType.SCALAR_ITER).asNondeterministic()(text)
 
 
 def base_failed(s: str) -> Column:
