@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -79,3 +80,43 @@ def test_a_doc_id_of_many_rows_is_dealt_to_several_ranges(spark):
         at += r.n_tokens
     order = [-1 if r.doc_id is None else r.doc_id for r in got]
     assert order == sorted(order)
+
+
+def test_letters_go_to_the_model_and_each_piece_is_looked_up_once():
+    e = WordEncoder(PATH)
+    lib = e.lib
+    odd = [chr(i) for i in range(0x130) if chr(i).isalpha()]
+    words = [*odd, *["An" + c + "lewh" for c in odd], *["".join(random.Random(i).choices(odd, k=12)) for i in range(300)]]
+    want = [ids(lib, w) for w in words]
+    e.encode(["."])
+    e.lib = None  # letters don't need the library's whole way
+    asked = []
+
+    class Known(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    e.known = Known(e.known)
+    got = e.encode([" ".join(words)] * 3 + [" ".join(words) + "."])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got[:3]] == [sum(want, [])] * 3
+    assert len(asked) == len(set(asked))
+
+
+def test_every_white_space_splits_as_in_the_library():
+    e = WordEncoder(PATH)
+    t = [f"{c}one{c}two's{c}{c}x.{c}" for c in map(chr, range(0x110000)) if c.isspace() or c in "\u180e\u200b\u2060\ufeff"] + ["", " ", "x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(t)] == [ids(e.lib, x) for x in t]
+
+
+def test_files_with_added_letters_or_padding_are_encoded_whole(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        told = json.load(f)
+    word = told["added_tokens"][0] | {"content": "Foo."}
+    padding = {"strategy": {"Fixed": 4}, "direction": "Right", "pad_to_multiple_of": None, "pad_id": 0, "pad_type_id": 0, "pad_token": "!"}
+    for i, change in enumerate(({"added_tokens": [*told["added_tokens"], word | {"id": 49408}]}, {"padding": padding})):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(told | change), encoding="utf-8")
+        e = WordEncoder(str(path))
+        t = ["a Foo. b", "x", "foo. Foo"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(t)] == [ids(e.lib, x) for x in t]
