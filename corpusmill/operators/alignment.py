@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+import re
+import unicodedata
+
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import compare_form
@@ -66,8 +69,12 @@ def align_words(expected: list[str], spoken: list[str], form) -> list[tuple[str,
             continue
         best, where = 0.0, -1
         for i in range(at, min(at + WINDOW, len(keys))):
-            s = 1.0 if k == keys[i] else 1 - _distance(k, keys[i]) / max(len(k), len(keys[i])) if keys[i] else 0.0
-            if s > best:
+            if k == keys[i]:
+                best, where = 1.0, i
+                break
+            longest = max(len(k), len(keys[i]))
+            # the lengths alone bound the similarity, and only a greater one counts
+            if keys[i] and 1 - abs(len(k) - len(keys[i])) / longest > best and (s := 1 - _distance(k, keys[i]) / longest) > best:
                 best, where = s, i
         status = "correct" if best >= CORRECT else "warning" if best >= WARNING else "error"
         at = where + 1 if best >= WARNING else at
@@ -75,19 +82,38 @@ def align_words(expected: list[str], spoken: list[str], form) -> list[tuple[str,
     return out
 
 
-def align_arrow(expected: Column, spoken: Column) -> Column:
-    """``align`` in Arrow batches."""
+#: Most bytes of words in one Arrow batch, and rows that are Python objects at a time.
+BATCH_BYTES, ROWS = 2 << 20, 64
+
+
+def _bounded_batches() -> None:
+    """Cut Arrow batches by size, so that a worker's memory doesn't follow the length of the texts. A smaller setting stays."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        import re
-        import unicodedata
 
-        marks = re.compile("[।,!?\\-–—\"'()\\[\\]]+")
-        form = lambda w: " ".join(unicodedata.normalize("NFC", marks.sub(" ", w)).split()).lower()
-        keys = ("word", "status", "confidence", "spoken")
-        return pd.Series([[dict(zip(keys, r)) for r in align_words(list(x), list(y), form)] for x, y in zip(a, b)])
+def _align_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    marks = re.compile("[।,!?\\-–—\"'()\\[\\]]+")
+    form = lambda w: " ".join(unicodedata.normalize("NFC", marks.sub(" ", w)).split()).lower()
+    keys = ("word", "status", "confidence", "spoken")
+    kind = pa.list_(pa.struct([(k, pa.float64() if k == "confidence" else pa.string()) for k in keys]))
+    parts = []
+    for at in range(0, len(a), ROWS):
+        rows = [None if x is None or y is None else align_words(x, y, form) for x, y in zip(a.slice(at, ROWS).to_pylist(), b.slice(at, ROWS).to_pylist())]
+        parts.append(pa.array([r and [dict(zip(keys, w)) for w in r] for r in rows], kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def align_arrow(expected: Column, spoken: Column) -> Column:
+    """``align`` in Arrow batches; a few rows at a time are Python objects, the rest stays in Arrow."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _align_batch(a, b)
 
-    return F.pandas_udf(run, RESULT)(expected, spoken)
+    _bounded_batches()
+    return F.arrow_udf(run, RESULT)(expected, spoken)
 
 
 def overall(results: Column) -> Column:

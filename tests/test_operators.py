@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +139,20 @@ def test_alignment(spark):
             assert r.o == want, (e, s)
 
 
+def test_alignment_holds_few_rows_as_objects(spark):
+    words = [[f"word{i}x{j}" for j in range(60)] for i in range(600)]
+    a = pa.array(words)
+    tracemalloc.start()
+    got = alignment._align_batch(a, a)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 600 and {w["status"] for w in got[599].as_py()} == {"correct"}
+    assert peak < 5 << 20  # all rows as objects take far more
+    rows = spark.createDataFrame([(1, ["a"] * 3), (2, None)], "i int, w array<string>").select("i", alignment.align_arrow(F.col("w"), F.col("w")).alias("r")).orderBy("i").collect()
+    assert len(rows[0].r) == 3 and rows[1].r is None
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= alignment.BATCH_BYTES
+
+
 def test_early_stopping_fold(spark):
     rnd = random.Random(0)
     series = {k: [rnd.choice([1.0, 0.9995, 0.5, 0.4999, 0.2]) for _ in range(rnd.randint(1, 40))] for k in range(20)}
