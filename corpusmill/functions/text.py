@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +14,10 @@ from pyspark.sql import functions as F
 from .profiles import BENGALI, BN_DIGITS, Profile
 
 SPACES = r"(?U)\s+"
+#: The characters of that class, for functions that need no regex.
+SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+MARKS = "।,!?-–—\"'()[]"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ASCII_DIGITS = "0123456789"
 
 
@@ -39,21 +46,37 @@ def nfc_bengali(c: Column) -> Column:
     return c
 
 
+#: The no-break space, then the zero-width characters that go.
+_CLEANED = "\xa0\u200c\u200b\ufeff"
+
+
 def clean_unicode(c: Column, joiners: bool = False, form=nfc_bengali) -> Column:
     """NFC, no zero-width characters, plain spaces; ``joiners``: U+200D goes too, and a doubled danda becomes one."""
-    c = F.translate(form(c), " ‌​﻿" + ("‍" if joiners else ""), " ")
+    c = F.translate(form(c), _CLEANED + ("\u200d" if joiners else ""), " ")
     return F.replace(c, F.lit("।।"), F.lit("।")) if joiners else c
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
+
+
+def spaced(c: Column, blanks: str = "", also: dict[str, str] | None = None) -> Column:
+    """Every white space and each of ``blanks`` as a plain space; ``also``: other characters and what they become, "" for nothing."""
+    also = also or {}
+    spaces = SPACE_CHARS + blanks
+    kept, gone = [k for k, v in also.items() if v], [k for k, v in also.items() if not v]
+    return F.translate(c, spaces + "".join(kept + gone), " " * len(spaces) + "".join(also[k] for k in kept))
+
+
+def single_spaces(c: Column) -> Column:
+    """No spaces at the ends and single ones inside, where ``spaced`` has left no other."""
+    return F.regexp_replace(F.trim(c), "  +", " ")
 
 
 def normalize_sentence(c: Column, profile: Profile = BENGALI, form=nfc_bengali) -> Column:
     """A sentence as curation compares it: no line number, single spaces, plain dashes, no doubled marks."""
-    c = F.regexp_replace(clean_unicode(c, form=form), r"(?U)^\d+[,.]?\s*", "")
-    c = F.regexp_replace(strip(c), SPACES, " ")
-    c = F.translate(c, "–—", "--")
+    c = spaced(form(c), also={"–": "-", "—": "-"} | {x: "" for x in _CLEANED[1:]})
+    c = single_spaces(F.regexp_replace(c, r"(?U)^\d+[,.]? *", ""))
     for run, mark in (("।।+", "।"), (r"\.\.+", profile.stop), (r"\?\?+", "?"), ("!!+", "!")):
         c = F.regexp_replace(c, run, mark)
     return F.regexp_replace(c, r"([।.!?])[।.!?]+\n?\z", "$1")
@@ -61,11 +84,11 @@ def normalize_sentence(c: Column, profile: Profile = BENGALI, form=nfc_bengali)
 
 def collapse_marks(c: Column) -> Column:
     """Plain dashes; a run of sentence marks becomes its first."""
-    return F.regexp_replace(F.translate(c, "–—", "--"), "([।,.!?])[।,.!?]*", "$1")
+    return F.regexp_replace(F.translate(c, "–—", "--"), "([।,.!?])[।,.!?]+", "$1")
 
 
 def remove_latin(c: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(c, "[a-zA-Z]+", ""), SPACES, " "))
+    return single_spaces(spaced(c, also={x: "" for x in _LETTERS}))
 
 
 def dedup_key(c: Column) -> Column:
@@ -74,7 +97,7 @@ def dedup_key(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, SPACES), lambda x: x != "")
+    return F.array_remove(F.split(c, SPACES), "")
 
 
 def word_count(c: Column) -> Column:
@@ -85,10 +108,26 @@ def sentence_type(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("?")), "question").when(F.contains(c, F.lit("!")), "exclamation").otherwise("statement")
 
 
+@lru_cache
+def _members(chars: str) -> str | None:
+    """The characters of the inside of a regex class; None if only Java's regexes know it."""
+    try:
+        return "".join(re.findall(f"[{chars}]", "".join(chr(i) for i in range(1, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)))
+    except re.error:
+        return None
+
+
+def _count_of(c: Column, chars: str) -> Column:
+    """How many characters of a text the regex class holds."""
+    listed = _members(chars)
+    if listed is None:
+        return F.length(F.regexp_replace(c, f"[^{chars}]", ""))
+    return F.length(c) - F.length(F.translate(c, listed, ""))
+
+
 def script_share(c: Column, profile: Profile = BENGALI) -> Column:
     """The share of code points that a valid text of the profile may hold; 0 for an empty text."""
-    kept = F.length(F.regexp_replace(c, f"[^{profile.letters}{profile.others}]", ""))
-    return F.when(F.length(c) > 0, kept / F.length(c)).otherwise(0.0)
+    return F.when(F.length(c) > 0, _count_of(c, profile.letters + profile.others) / F.length(c)).otherwise(0.0)
 
 
 def is_valid(c: Column, profile: Profile = BENGALI, least: float = 0.7) -> Column:
@@ -98,14 +137,12 @@ def is_valid(c: Column, profile: Profile = BENGALI, least: float = 0.7) -> Colum
 def clean_or_null(c: Column, shortest: int = 2, longest: int = 500, profile: Profile = BENGALI) -> Column:
     """The stripped text, or null if its length is out of range or under half of it, spaces aside, is of the script."""
     t = strip(c)
-    own = F.length(F.regexp_replace(t, f"[^{profile.letters}]", ""))
-    return F.when(F.length(t).between(shortest, longest) & (own >= 0.5 * F.length(F.replace(t, F.lit(" "), F.lit("")))), t)
+    return F.when(F.length(t).between(shortest, longest) & (_count_of(t, profile.letters) >= 0.5 * F.length(F.replace(t, F.lit(" "), F.lit("")))), t)
 
 
 def compare_form(c: Column, form=nfc_bengali) -> Column:
     """A word or text as alignment compares it: marks to spaces, NFC, single spaces, lower case."""
-    c = form(F.regexp_replace(c, "[।,!?\\-–—\"'()\\[\\]]+", " "))
-    return F.lower(strip(F.regexp_replace(c, SPACES, " ")))
+    return F.lower(single_spaces(form(spaced(c, MARKS))))
 
 
 def to_ascii_digits(c: Column) -> Column:

@@ -51,6 +51,20 @@ def test_validity_and_cleaning(spark):
     assert col(spark, ["১2a৩", "", "none"], lambda c: T.digits_to_int(c).cast("long")) == [123, 0, 0]
 
 
+def test_characters_are_counted_without_regexes(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    plan = lambda *cs: df.repartition(1).select(*[c.alias("x") for c in cs])._jdf.queryExecution().optimizedPlan().toString()
+    t = F.col("t")
+    assert "regexp" not in plan(T.script_share(t), T.is_valid(t, LATIN), T.clean_or_null(t, 2, 500, LATIN), T.strip(t))
+    assert plan(T.compare_form(t)).count("regexp_replace") == plan(T.remove_latin(t)).count("regexp_replace") == 1
+    rnd = random.Random(3)
+    rows = ["".join(rnd.choice("aZéɏ0 .;\t\x85\xa0\u2003\u3000\x1c\u200b।কো") for _ in range(rnd.randint(0, 9))) for _ in range(300)]
+    others = " ।,!?'\"-():;\n"
+    own = lambda x: x in others or "A" <= x <= "Z" or "a" <= x <= "z" or "\xc0" <= x <= "\u024f"
+    assert col(spark, rows, lambda c: T.script_share(c, LATIN)) == [sum(map(own, x)) / len(x) if x else 0.0 for x in rows]
+    assert col(spark, rows, T.strip) == [x.strip(T.SPACE_CHARS) for x in rows]
+
+
 def test_units(spark):
     (units,) = col(spark, ["মন্ত্র"], T.unit_list)
     assert units == ["consonant:ত", "consonant:ন", "consonant:ম", "consonant:র", "special:্", "conjunct:ন্ত", "conjunct:ত্র", "conjunct:ন্ত্র"]
