@@ -34,22 +34,31 @@ def quality_score(profile: Profile = BENGALI) -> Column:
     length = F.when(n.between(15, 50), 30).when(n.between(10, 60), 20).when(n.between(5, 80), 10).otherwise(5)
     units = F.least(F.size("phoneme_coverage") * 1.5, F.lit(30.0))
     conjuncts = F.least(F.size("has_conjuncts") * 3, F.lit(15))
-    ends = F.when(F.col("text").rlike(f"[{profile.terminators}]\\z"), 10).otherwise(0)
+    ends = F.when(F.substring("text", -1, 1).rlike(f"[{profile.terminators}]"), 10).otherwise(0)
     starts = F.when(F.col("text").rlike(f"^[{profile.letters}]"), 5).otherwise(0)
     kind = F.when(F.col("sentence_type") == "question", 10).when(F.col("sentence_type") == "exclamation", 8).otherwise(5)
     return (length + units + conjuncts + ends + starts + kind).cast("double")
 
 
 def score(df: DataFrame, profile: Profile = BENGALI) -> DataFrame:
-    return df.withColumn("quality_score", quality_score(profile))
+    """``df`` with ``quality_score``; from an array of one, so that a filter on it doesn't repeat the whole score."""
+    return df.withColumn("quality_score", F.explode(F.array(quality_score(profile))))
+
+
+def has_length(shortest: int = 3, longest: int = 150) -> Column:
+    return F.col("char_count").between(shortest, longest)
+
+
+def has_quality(least: float = 20.0) -> Column:
+    return F.col("quality_score") >= least
 
 
 def filter_length(df: DataFrame, shortest: int = 3, longest: int = 150) -> DataFrame:
-    return df.where(F.col("char_count").between(shortest, longest))
+    return df.where(has_length(shortest, longest))
 
 
 def filter_quality(df: DataFrame, least: float = 20.0) -> DataFrame:
-    return df.where(F.col("quality_score") >= least)
+    return df.where(has_quality(least))
 
 
 def deduplicate(df: DataFrame, order: str = "ord") -> DataFrame:

@@ -106,9 +106,8 @@ def quality_scores(spark, d):
 
 @query
 def filtered_counts(spark, d):
-    rows = _scored(spark, d)
-    long, good = corpus.filter_length(rows), corpus.filter_quality(rows, 60.0)
-    return long.agg(F.count("*").alias("n")).select(F.lit("length").alias("rule"), "n").unionByName(good.agg(F.count("*").alias("n")).select(F.lit("quality").alias("rule"), "n"))
+    n = _scored(spark, d).agg(F.count_if(corpus.has_length()).alias("length"), F.count_if(corpus.has_quality(60.0)).alias("quality"))
+    return n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("n")) for k in ("length", "quality")])).alias("r")).select("r.*")
 
 
 @query
