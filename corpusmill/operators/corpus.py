@@ -117,7 +117,7 @@ def coverage_rank(df: DataFrame, target: int = 10, order: str = "ord", pool: int
 def balanced_rank(df: DataFrame, group: Column, shares: dict[str, float], name: str, order: str = "ord") -> DataFrame:
     """``df`` with a rank column: each group's best up to its share of all rows, group by group, then the rest by score.
 
-    Groups are three or so, so their places come from ``global_rank`` and their counts, not from a window over each.
+    Groups are three or so, so their places come from one ``global_rank`` and counts, not from a window over each.
     """
     rows = shared_table(df.withColumn("_g", group))  # counted, ranked and dealt from one table
     counts = {r._g: r.n for r in rows.groupBy("_g").agg(F.count("*").alias("n")).collect()}  # one row for each group
@@ -130,10 +130,14 @@ def balanced_rank(df: DataFrame, group: Column, shares: dict[str, float], name:
         seen += counts.get(g, 0)
     case = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("_g")]
     rows = global_rank(rows.withColumn("_p", case(place)), [F.asc("_p"), F.desc("quality_score"), F.asc(order)], "_r").withColumn("_r", F.col("_r") - case(ahead))
-    inside = F.col("_r") <= case(quota)
-    first = rows.where(inside).withColumn(name, case(start) + F.col("_r"))
-    rest = global_rank(rows.where(~inside), [F.desc("quality_score"), F.asc("_p"), F.asc("_r")], "_k").withColumn(name, F.lit(at) + F.col("_k"))
-    return first.unionByName(rest.drop("_k")).drop("_g", "_p", "_r")
+    late = F.col("_r") > case(quota)
+    # the late rows of one group and score stand together, so their places follow from counts; one row for each group and score
+    runs = rows.where(late).groupBy("_p", "quality_score").agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(F.desc("quality_score"), F.asc("_p")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = shared_table(runs.select(F.col("_p").alias("_q"), F.col("quality_score").alias("_s"), "_first", before.alias("_before")))
+    rows = rows.join(runs, late & (F.col("_p") == F.col("_q")) & F.col("quality_score").eqNullSafe(F.col("_s")), "left")
+    place_of = F.when(late, at + F.col("_before") + F.col("_r") - F.col("_first") + 1).otherwise(case(start) + F.col("_r"))
+    return rows.withColumn(name, place_of.cast("long")).drop("_g", "_p", "_r", "_q", "_s", "_first", "_before")
 
 
 def balance_types(df: DataFrame, order: str = "ord") -> DataFrame:

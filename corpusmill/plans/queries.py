@@ -53,6 +53,11 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return corpus.score(_sentences(spark, d), LATIN)
 
 
+def _ranked_by(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Scored lines with only what a rank needs, as ranks write what they sort."""
+    return _scored(spark, d).select("doc_id", "pos", "ord", "quality_score", *columns)
+
+
 @query
 def curate_lines(spark, d):
     """Lines, normalize, dedup, score, the 500 best."""
@@ -154,12 +159,12 @@ def missing_units(spark, d):
 
 @query
 def balance_types(spark, d):
-    return corpus.balance_types(_scored(spark, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("type_rank").cast("long").alias("type_rank"))
+    return corpus.balance_types(_ranked_by(spark, d, "sentence_type")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("type_rank").cast("long").alias("type_rank"))
 
 
 @query
 def balance_lengths(spark, d):
-    return corpus.balance_lengths(_scored(spark, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("length_rank").cast("long").alias("length_rank"))
+    return corpus.balance_lengths(_ranked_by(spark, d, "char_count")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("length_rank").cast("long").alias("length_rank"))
 
 
 @query

@@ -67,6 +67,31 @@ def test_balances_are_permutations(spark):
     assert corpus.balance_types(df.limit(0)).count() == corpus.select_best(df.limit(0), 3, mode="exact").count() == 0
 
 
+def test_scores_are_computed_once(spark):
+    df = corpus.filter_quality(corpus.score(corpus.analyze(spark.createDataFrame([(0, "ক")], "ord long, text string").repartition(1))), 5.0)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Filter (quality_score#") and plan.count("Filter") == 1
+    counts = QUERIES["filtered_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert counts.count("Relation [") == 1
+
+
+def test_balance_sorts_once_and_takes_turns(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["statement"] * 3 + ["question", "exclamation"]), float(rnd.choice([10, 10.5, 30]))) for i in range(200)]
+    calls = []
+    rank = corpus.global_rank
+    monkeypatch.setattr(corpus, "global_rank", lambda *a: calls.append(1) or rank(*a))
+    got = corpus.balance_types(spark.createDataFrame(rows, "ord long, sentence_type string, quality_score double").repartition(5))
+    kinds, first, late = {"statement": 0.6, "question": 0.25, "exclamation": 0.15}, [], []
+    for k, share in kinds.items():
+        group = sorted((r for r in rows if r[1] == k), key=lambda r: (-r[2], r[0]))
+        first += group[: int(len(rows) * share)]
+        late += group[int(len(rows) * share) :]
+    want = first + sorted(late, key=lambda r: -r[2])
+    assert late and {r.ord: r.type_rank for r in got.collect()} == {r[0]: i for i, r in enumerate(want, 1)}
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 19, 20, 137])
 def test_split_sizes(spark, n):
     rows = corpus.split_sets(spark.range(n), "id").groupBy("split").count().collect()
