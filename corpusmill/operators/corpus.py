@@ -67,48 +67,76 @@ def deduplicate(df: DataFrame, order: str = "ord") -> DataFrame:
     return df.groupBy(T.dedup_key(F.col("text")).alias("_key")).agg(best).select("r.*")
 
 
+#: The most rows that ``top`` lets single tasks hold.
+HELD = 100_000
+
+
 def top(df: DataFrame, k: int, order: str = "ord") -> DataFrame:
-    return df.orderBy(F.desc("quality_score"), F.asc(order)).limit(k)
+    """The k best by score, then order. Up to ``HELD`` rows meet in one task; more are ranked in ranges."""
+    by = [F.desc("quality_score"), F.asc(order)]
+    if k <= HELD:
+        return df.orderBy(*by).limit(k)
+    return global_rank(shared_table(df), by, "_r").where(F.col("_r") <= k).orderBy("_r").drop("_r")
+
+
+#: Units in one number of a row's bits.
+BITS = 62
+
+
+def _sort_key(v):
+    """A value as Python compares it in Spark's ascending order: nulls first."""
+    return tuple(_sort_key(x) for x in v) if isinstance(v, tuple) else (v is not None, v)
 
 
 def coverage_rank(df: DataFrame, target: int = 10, order: str = "ord", pool: int = 5000) -> DataFrame:
     """``df`` with ``coverage_rank`` from 1: greedy multi-cover, then the rest by score. Every row stays.
 
-    A row's gain, the units it has that are still under ``target``, only falls. So the ``pool`` rows of the highest gain go to the
-    driver, which picks among them while the best of them beats the least gain that the pool was cut at; then the next pool is
-    fetched. With u units there are at most u*target picks; no more than a pool is ever held.
+    A row's gain, the units it has that are still under ``target``, changes only when a unit gets there, and then only falls. So the
+    first rows by gain and order go to the driver, as many as picks can follow, ``pool`` at most; it picks among them while the best
+    of them comes before the last that was fetched; then the next are fetched. With u units there are at most u*target picks, and u
+    fetches if ``pool`` is not less than that. One task brings a fetch together, so the driver gets its rows and no more.
     """
     spark = df.sparkSession
-    base = df.select(F.col(order).alias("o"), "phoneme_coverage").persist()
-    kind = base.schema["o"].dataType.simpleString()
-    have: dict[str, int] = {}
+    table = shared_table(df)  # each round reads a table, none computes the rows again
+    kind = table.schema[order].dataType.simpleString()
+    units = sorted(r[0] for r in table.select(F.explode("phoneme_coverage").alias("u")).where("u is not null").distinct().collect())  # the inventory
+    parts = [units[i : i + BITS] for i in range(0, len(units), BITS)]
+    value = lambda part, u: F.element_at(F.lit([0] + [1 << j for j in range(len(part))]).cast("array<long>"), (F.array_position(F.lit(part), u) + 1).cast("int"))
+    bit = lambda part: lambda m, u: m.bitwiseOR(F.coalesce(value(part, u), F.lit(0).cast("long")))
+    bits = [F.aggregate("phoneme_coverage", F.lit(0).cast("long"), bit(p)).alias(f"m{i}") for i, p in enumerate(parts)]
+    base = shared_table(table.select(F.col(order).alias("o"), *bits)) if units else None
+    have = [0] * len(units)
+    still = (1 << len(units)) - 1 if target > 0 else 0  # the units under target, as bits
+    whole = lambda r: sum(r[f"m{i}"] << i * BITS for i in range(len(parts)))
     picks: list = []
-    while True:
-        closed = F.array(*[F.lit(u) for u, n in have.items() if n >= target]).cast("array<string>")
-        rows = base.withColumn("gain", F.size(F.array_except("phoneme_coverage", closed))).where("gain > 0")
+    while still:
+        gain = F.lit(0)
+        for i in range(len(parts)):
+            gain = gain + F.bit_count(F.col(f"m{i}").bitwiseAND(F.lit(still >> i * BITS & (1 << BITS) - 1).cast("long")))
+        rows = base.withColumn("gain", gain).where("gain > 0")
         if picks:
             rows = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in picks], f"o {kind}")), "o", "left_anti")
-        held = [(r.o, set(r.phoneme_coverage), r.gain) for r in rows.orderBy(F.desc("gain"), "o").limit(pool).collect()]
+        most = min(pool, sum(target - n for n in have if n < target))
+        rows = rows.orderBy(F.desc("gain"), "o").limit(most).agg(F.collect_list(F.struct("o", *[f"m{i}" for i in range(len(parts))])).alias("rows")).first()[0]
+        held = [(_sort_key(r.o), whole(r), r.o) for r in rows]
         if not held:
             break
-        cut = held[-1][2] if len(held) == pool else 0
-        fresh = True
+        by = lambda h: (-(h[1] & still).bit_count(), h[0])  # noqa: B023, E731
+        last = max(map(by, held)) if len(held) == most else None
         while held:
-            gains = [sum(have.get(u, 0) < target for u in units) for _, units, _ in held]
-            best = max(range(len(held)), key=lambda i: (gains[i], -i))
-            # of equal gains the first in order
-            ties = [i for i, g in enumerate(gains) if g == gains[best]]
-            best = min(ties, key=lambda i: held[i][0])
-            if not gains[best] or not fresh and gains[best] <= cut:
+            best = min(held, key=by)
+            gained = best[1] & still
+            if not gained or last and by(best) > last:
                 break
-            fresh = False
-            o, units, _ = held.pop(best)
-            picks.append(o)
-            for u in units:
-                have[u] = have.get(u, 0) + 1
-    base.unpersist()
+            held.remove(best)
+            picks.append(best[2])
+            for i in range(len(units)):
+                if gained >> i & 1:
+                    have[i] += 1
+                    if have[i] >= target:
+                        still &= ~(1 << i)
     chosen = spark.createDataFrame([(p, i) for i, p in enumerate(picks, 1)], f"_o {kind}, _pick int")
-    rows = df.join(F.broadcast(chosen), F.col(order) == F.col("_o"), "left").drop("_o")  # units * target rows at most
+    rows = table.join(F.broadcast(chosen), F.col(order) == F.col("_o"), "left").drop("_o")  # units * target rows at most
     rest = global_rank(rows.where("_pick is null"), [F.desc("quality_score"), F.asc(order)], "_r")
     first = rows.where("_pick is not null").withColumn("coverage_rank", F.col("_pick").cast("long"))
     return first.unionByName(rest.withColumn("coverage_rank", F.col("_r") + len(picks)).drop("_r")).drop("_pick")

@@ -179,7 +179,7 @@ def select_fallback(spark, d):
 
 @query
 def coverage_order(spark, d):
-    rows = corpus.filter_length(_scored(spark, d), 3, 200)
+    rows = corpus.filter_length(_ranked_by(spark, d, "char_count", "phoneme_coverage"), 3, 200)
     return corpus.coverage_rank(rows, 25).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("coverage_rank").cast("long").alias("coverage_rank"))
 
 

@@ -92,6 +92,14 @@ def test_balance_sorts_once_and_takes_turns(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_equal_gains_are_picked_in_one_fetch(spark, monkeypatch):
+    df = sentences(spark, ["কখ"] * 40)
+    calls, mark = [], F.broadcast
+    monkeypatch.setattr(corpus.F, "broadcast", lambda d: calls.append(1) or mark(d))
+    got = [r.ord for r in corpus.coverage_rank(df, 10, pool=5).orderBy("coverage_rank").collect()]
+    assert got == list(range(40)) and len(calls) <= 4  # one for each fetch of five but the first, one for the ranks
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 19, 20, 137])
 def test_split_sizes(spark, n):
     rows = corpus.split_sets(spark.range(n), "id").groupBy("split").count().collect()
