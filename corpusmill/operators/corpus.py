@@ -189,8 +189,12 @@ def select_best(df: DataFrame, k: int = 20_000, profile: Profile = BENGALI, mode
     rows = filter_quality(score(filter_length(df, 3, 200), profile), 5.0)
     if mode == "score":
         return top(rows, k, order)
-    rows = balance_lengths(balance_types(coverage_rank(rows, 25, order), "coverage_rank"), "type_rank")
-    return rows.orderBy(F.desc("quality_score"), F.asc("length_rank")).limit(k).drop("coverage_rank", "type_rank", "length_rank")
+    rows = shared_table(rows.withColumn("_row", F.monotonically_increasing_id()))
+    # what the ranks sort and write is narrow; the chosen rows meet their texts at the end
+    ranked = coverage_rank(rows.select("_row", order, "phoneme_coverage", "char_count", "sentence_type", "quality_score"), 25, order).drop("phoneme_coverage")
+    ranked = balance_lengths(balance_types(ranked, "coverage_rank"), "type_rank")
+    best = top(ranked.select("_row", "quality_score", "length_rank"), k, "length_rank").select("_row", "length_rank")
+    return rows.join(shared_table(best), "_row").orderBy(F.desc("quality_score"), F.asc("length_rank")).drop("_row", "length_rank")
 
 
 def select_with_fallback(df: DataFrame, k: int = 20_000, profile: Profile = BENGALI, order: str = "ord") -> DataFrame:

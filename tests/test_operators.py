@@ -100,6 +100,13 @@ def test_equal_gains_are_picked_in_one_fetch(spark, monkeypatch):
     assert got == list(range(40)) and len(calls) <= 4  # one for each fetch of five but the first, one for the ranks
 
 
+def test_exact_selection_ranks_without_texts(spark, monkeypatch):
+    seen, rank = [], corpus.global_rank
+    monkeypatch.setattr(corpus, "global_rank", lambda df, *a: seen.append(set(df.columns)) or rank(df, *a))
+    assert corpus.select_best(sentences(spark).drop("quality_score"), 3, mode="exact").count() == 3
+    assert len(seen) == 3 and not any("text" in x for x in seen)
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 19, 20, 137])
 def test_split_sizes(spark, n):
     rows = corpus.split_sets(spark.range(n), "id").groupBy("split").count().collect()
