@@ -198,9 +198,16 @@ def select_best(df: DataFrame, k: int = 20_000, profile: Profile = BENGALI, mode
 
 
 def select_with_fallback(df: DataFrame, k: int = 20_000, profile: Profile = BENGALI, order: str = "ord") -> DataFrame:
-    """``select_best``; if that has fewer than k rows, the k best of all with a score of 15 or more, of any length."""
-    best = select_best(df, k, profile, order=order)
-    return best if best.count() >= k else top(filter_quality(score(df, profile), 15.0), k, order)
+    """``select_best``; if that has fewer than k rows, the k best of all with a score of 15 or more, of any length.
+
+    Rows are scored once into a table, and counts decide.
+    """
+    rows = shared_table(score(df, profile))
+    best, all_ = has_length(3, 200) & has_quality(5.0), has_quality(15.0)
+    n = rows.agg(F.count_if(best), F.count_if(all_)).first()
+    rule, held = (best, n[0]) if n[0] >= k else (all_, n[1])
+    rows = rows.where(rule)
+    return rows.orderBy(F.desc("quality_score"), F.asc(order)) if held <= k else top(rows, k, order)
 
 
 def fill_templates(templates: DataFrame, words: DataFrame) -> DataFrame:

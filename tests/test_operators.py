@@ -107,6 +107,15 @@ def test_exact_selection_ranks_without_texts(spark, monkeypatch):
     assert len(seen) == 3 and not any("text" in x for x in seen)
 
 
+def test_large_selections_meet_in_no_task(spark, monkeypatch):
+    df = sentences(spark)
+    best = [r.ord for r in corpus.top(df, 4).collect()]
+    monkeypatch.setattr(corpus, "HELD", 2, raising=False)
+    for got in (corpus.top(df, 4), corpus.select_with_fallback(df, 10_000_000)):
+        assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.ord for r in corpus.top(df, 4).collect()] == best
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 19, 20, 137])
 def test_split_sizes(spark, n):
     rows = corpus.split_sets(spark.range(n), "id").groupBy("split").count().collect()
